@@ -128,18 +128,37 @@ class Linear:
         return 1 / (1 + float(np.exp(-min(max(z, -40.0), 40.0))))
 
 
-def candidates(texts: list[set[str]], toxic: np.ndarray, most: int) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Patterns that are frequent enough and skewed to the toxic class, with their log lifts and firings (documents x patterns)."""
+_SKETCH = 1 << 22
+
+
+def candidates(texts: list[str | None], toxic: np.ndarray, most: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Patterns that are frequent enough and skewed to the toxic class, with their log lifts and firings (documents x patterns).
+
+    Patterns are read from the texts three times and never held for all of them:
+    counters of hashed patterns first tell which may be frequent.
+    """
     n1, n0 = int(toxic.sum()), int((~toxic).sum())
-    pos = Counter(m for t, y in zip(texts, toxic) if y for m in t)
-    pos = {m: c for m, c in pos.items() if c >= max(4, int(0.02 * n1))}
-    neg = Counter(m for t, y in zip(texts, toxic) if not y for m in t if m in pos)
+    least = max(4, int(0.02 * n1))
+    counters = np.zeros(_SKETCH, np.int32)
+    place = lambda marks: np.fromiter((hash(m) % _SKETCH for m in marks), np.int64, len(marks))
+    for t, y in zip(texts, toxic):
+        if y:
+            counters[np.unique(place(patterns(t)))] += 1
+    pos: Counter = Counter()
+    for t, y in zip(texts, toxic):
+        if y:
+            pos.update(m for m in patterns(t) if counters[hash(m) % _SKETCH] >= least)
+    pos = {m: c for m, c in pos.items() if c >= least}
+    neg: Counter = Counter()
+    for t, y in zip(texts, toxic):
+        if not y:
+            neg.update(pos.keys() & patterns(t))
     lift = {m: float(np.log(((c + 0.5) / n1) / ((neg[m] + 0.5) / n0))) for m, c in pos.items()}
     names = sorted((m for m in pos if lift[m] > 2), key=lambda m: (-lift[m] * np.sqrt(pos[m]), m))[:most]
     at = {m: i for i, m in enumerate(names)}
     fires = np.zeros((len(texts), len(names)), bool)
     for r, t in enumerate(texts):
-        for m in t & at.keys():
+        for m in at.keys() & patterns(t):
             fires[r, at[m]] = True
     return names, np.array([lift[m] for m in names]), fires
 
@@ -164,9 +183,7 @@ def train(rows: list[tuple[str | None, int]], odds: float | None = None, max_vot
     if not toxic.any() or toxic.all():
         return Linear()
     odds = odds or toxic.sum() / (~toxic).sum()
-    texts = [patterns(t) for t, _ in rows]
-    names, lift, fires = candidates(texts, toxic, 2000)
-    del texts
+    names, lift, fires = candidates([t for t, _ in rows], toxic, 2000)
     features = distinct(fires, max_features)
     voters = [j for j in features if lift[j] > 3][:max_voters]
     if not voters:
