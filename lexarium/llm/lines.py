@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import BLANK, row_key, stash, unstash
+from .shared import row_key, stash, unstash
 
 
 def _lines(docs: DataFrame) -> DataFrame:

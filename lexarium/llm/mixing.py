@@ -34,7 +34,7 @@ SEED = "mix"
 
 
 def words_in(name: str = "text") -> Column:
-    """Number of words; white space becomes single blanks, so that words are gaps plus one."""
+    """Number of words: each becomes one letter, and white space goes."""
     flat = F.regexp_replace(F.coalesce(F.col(name), F.lit("")), r"[^\x20\x09-\x0D]+", "x")
     return F.length(F.translate(flat, " \t\n\x0b\f\r", "")).cast("long")
 

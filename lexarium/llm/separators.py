@@ -1,6 +1,7 @@
 """Token counts by a separator scan over flat, unindexed token files.
 
-A flat token file is nothing but little-endian uint32 ids, each document closed
+A flat token file is nothing but little-endian ids of fixed width (uint16 where
+the end-of-document id, the greatest one, fits, else uint32), each document closed
 by an end-of-document id.  The scan cuts files into blocks of fixed size, finds
 the closing ids of a block with one vectorised comparison, and stitches the
 blocks by a prefix scan over block summaries: the running number of closed
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from .shared import shared_path, stash, text_bytes, unstash
+from .shared import remove, shared_path, stash
 from .tokens import Tokens, source_of
 
 #: The end-of-document id of the public vocabulary; ordinary text never encodes to it.
@@ -36,6 +37,10 @@ END_ID = 50256
 BLOCK_IDS = 1 << 20
 
 
+def id_type(end_id: int) -> str:
+    return "<u2" if end_id < 1 << 16 else "<u4"
+
+
 def _open(uri: str):
     """(file system, path) of a folder or file URI, as executors reach it."""
     from pyarrow import fs
@@ -49,7 +54,7 @@ def write_flat(docs: DataFrame, folder: str, end_id: int = END_ID, path: str | N
     source = spark.sparkContext.broadcast(source_of(path))
 
     def run(batches):
-        enc = Tokens.of(source.value)
+        enc, kind = Tokens.of(source.value), id_type(end_id)
         store, root = _open(folder)
         name = f"tokens-{TaskContext.get().partitionId():06d}.bin"
         trial = f"{root}/_trial-{uuid.uuid4().hex}"
@@ -58,8 +63,7 @@ def write_flat(docs: DataFrame, folder: str, end_id: int = END_ID, path: str | N
         with store.open_output_stream(trial) as f:
             for b in batches:
                 for text in b.column(1).to_pylist():
-                    f.write(enc.ids(text or "").tobytes())
-                    f.write(np.uint32(end_id).tobytes())
+                    f.write(np.append(enc.ids(text or ""), np.uint32(end_id)).astype(kind).tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array([name] * b.num_rows, pa.string()), pa.array(np.arange(n, n + b.num_rows)), b.column(0)], names=["file", "ordinal", "doc_id"])
                 n += b.num_rows
         store.move(trial, f"{root}/{name}")
@@ -80,17 +84,19 @@ def scan(spark: SparkSession, folder: str, end_id: int = END_ID, block_ids: int
     """file, ordinal, start, n_tokens and closed of each document in the token files of ``folder``."""
     listed = [(name, size) for name, size in flat_files(spark, folder) if size]
     files = spark.createDataFrame(listed, "file string, bytes long")
-    ids = F.floor(F.col("bytes") / 4)
+    kind = id_type(end_id)
+    width = int(kind[-1])
+    ids = F.floor(F.col("bytes") / width)
     blocks = files.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((ids - 1) / block_ids)))).select("file", "block", F.least(ids - F.col("block") * block_ids, F.lit(block_ids)).alias("ids"))
-    tasks = max(1, min(10_000, sum(-(-size // (4 * block_ids)) for _, size in listed)))
+    tasks = max(1, min(10_000, sum(-(-size // (width * block_ids)) for _, size in listed)))
 
     def search(batches):
         store, root = _open(folder)
         for b in batches:
             for file, block, n in zip(*(c.to_pylist() for c in b.columns)):
                 with store.open_input_file(f"{root}/{file}") as f:
-                    raw = f.read_at(int(n) * 4, block * block_ids * 4)
-                ends = np.flatnonzero(np.frombuffer(raw, "<u4") == end_id) + block * block_ids
+                    raw = f.read_at(int(n) * width, block * block_ids * width)
+                ends = np.flatnonzero(np.frombuffer(raw, kind) == end_id) + block * block_ids
                 last = pa.array([int(ends[-1]) if len(ends) else None], pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([block]), pa.array([block * block_ids + n]), pa.array([len(ends)]), last, pa.array([ends], pa.list_(pa.int64()))], names=["file", "block", "upto", "n", "last", "ends"])
 
@@ -110,4 +116,6 @@ def token_counts(docs: DataFrame, end_id: int = END_ID, path: str | None = None,
     """doc_id and n_tokens of each row, counted in flat files that are written for it."""
     folder = shared_path(docs.sparkSession, "flat")
     manifest = write_flat(docs, folder, end_id, path)
-    return manifest.join(scan(docs.sparkSession, folder, end_id, block_ids), ["file", "ordinal"]).select("doc_id", "n_tokens")
+    counted = scan(docs.sparkSession, folder, end_id, block_ids)
+    remove(docs.sparkSession, folder)  # the scan has read them
+    return manifest.join(counted, ["file", "ordinal"]).select("doc_id", "n_tokens")

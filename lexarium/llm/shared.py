@@ -18,7 +18,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 #: A word is a run of anything but ASCII white space.  ``bytes.split()`` splits
 #: on exactly these six bytes, so Python code splits the UTF-8 bytes of a text.
 WORD = r"[^\x20\x09-\x0D]+"
-BLANK = "[\\x20\\x09-\\x0D]"
 
 _own_root: list[str] = []
 
@@ -55,9 +54,13 @@ def stash(df: DataFrame, name: str) -> DataFrame:
 def unstash(*frames: DataFrame) -> None:
     """Delete stashed tables that no later plan reads."""
     for df in frames:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df.stash_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(df.sparkSession, df.stash_path)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder through Spark's file systems."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_bytes(name: str = "text") -> Column:

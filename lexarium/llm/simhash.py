@@ -28,7 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .shared import components, stash, text_bytes, unstash
+from .shared import components, stash, text_bytes
 
 _EVEN = 0x5555555555555555
 
