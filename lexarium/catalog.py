@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from .deploy import shipped
+from .plans import clusters, history, relational, rules, shares, texts  # noqa: F401  (they register queries)
+from .plans.registry import QUERIES, SQL
+from .streaming import plans as _streaming  # noqa: F401
+
 
 def queries() -> dict:
-    return {}
+    return {name: shipped(f) for name, f in QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(SQL)
