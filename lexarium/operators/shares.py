@@ -15,8 +15,13 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 def full_shares(rows: DataFrame, entity: Sequence[str], topic: str, words: str, digits: int = 5) -> DataFrame:
     """Share of each topic in its entity's words; all words count, whatever their topic."""
     sums = rows.groupBy(*entity, topic).agg(F.sum(words).alias("words"))
-    total = F.sum("words").over(W.partitionBy(*entity))
-    return sums.withColumn("share", F.round(F.col("words") / total, digits))
+    return sums.withColumn("_total", F.sum("words").over(W.partitionBy(*entity))).withColumn("share", rounded_ratio("words", "_total", digits)).drop("_total")
+
+
+def rounded_ratio(num: str, den: str, digits: int, scale: int = 0) -> Column:
+    """num / den / 10^scale rounded half up to ``digits`` places in whole-number arithmetic, so that ties are exact; num and den are long and not negative."""
+    unit = 10 ** (digits - scale)
+    return F.expr(f"(2L * {unit}L * `{num}` + `{den}`) div (2L * `{den}`)") / F.lit(10.0**digits)
 
 
 def mean_over(shares: DataFrame, child: Sequence[str], parent: Sequence[str], topic: str, digits: int = 5) -> DataFrame:
@@ -27,7 +32,7 @@ def mean_over(shares: DataFrame, child: Sequence[str], parent: Sequence[str], to
     unit = 10**digits
     sizes = shares.select(*parent, *child).distinct().groupBy(*parent).agg(F.count("*").alias("n_children"))
     sums = shares.groupBy(*parent, topic).agg(F.sum(F.round(F.col("share") * unit).cast("long")).alias("s"))
-    return sums.join(sizes, list(parent)).select(*parent, topic, F.round(F.col("s") / F.col("n_children") / unit, digits).alias("share"), "n_children")
+    return sums.join(sizes, list(parent)).select(*parent, topic, rounded_ratio("s", "n_children", digits, digits).alias("share"), "n_children")
 
 
 def grid(shares: DataFrame, entity: Sequence[str], topic: str) -> DataFrame:

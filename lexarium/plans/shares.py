@@ -30,9 +30,9 @@ def work_shares(spark: SparkSession, sf: str) -> DataFrame:
 _CHUNKS = """chunks AS (SELECT r_name AS genre, c_custkey AS work, l_orderkey AS edition, l_returnflag AS topic, CAST(l_quantity AS BIGINT) AS words
  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 _WORKS = _CHUNKS + """,
-es AS (SELECT genre, work, edition, topic, round(sum(words) / sum(sum(words)) OVER (PARTITION BY edition), 5) AS share FROM chunks GROUP BY genre, work, edition, topic),
+es AS (SELECT genre, work, edition, topic, CAST((200000 * sum(words) + sum(sum(words)) OVER (PARTITION BY edition)) // (2 * sum(sum(words)) OVER (PARTITION BY edition)) AS DOUBLE) / 100000.0::DOUBLE AS share FROM chunks GROUP BY genre, work, edition, topic),
 ne AS (SELECT work, count(DISTINCT edition) AS n FROM es GROUP BY work),
-ws AS (SELECT genre, es.work, topic, round(sum(CAST(round(share * 100000) AS BIGINT)) / max(n) / 100000, 5) AS share FROM es JOIN ne ON es.work = ne.work GROUP BY genre, es.work, topic),
+ws AS (SELECT genre, es.work, topic, CAST((2 * sum(CAST(round(share * 100000) AS BIGINT)) + max(n)) // (2 * max(n)) AS DOUBLE) / 100000.0::DOUBLE AS share FROM es JOIN ne ON es.work = ne.work GROUP BY genre, es.work, topic),
 ts AS (SELECT DISTINCT topic FROM ws),
 wk AS (SELECT DISTINCT genre, work FROM ws),
 wd AS (SELECT wk.genre, wk.work, ts.topic, coalesce(ws.share, 0) AS share FROM wk CROSS JOIN ts LEFT JOIN ws ON wk.work = ws.work AND ts.topic = ws.topic)"""
