@@ -14,9 +14,9 @@ Groups are counted and joined back, never paired or gathered.
 
 Cases: null or blank texts have no lines; texts of fewer lines are kept; blank
 lines stay unless they lie inside a deleted run; in repeated rows that agree in
-doc_id and text the copies are one row's (the first's) and are all kept alike;
+doc_id and text the copies count as one row and are all cut alike;
 a null doc_id sorts first; an empty table gives an empty one; further columns
-are kept as they are.
+are kept as they are, but for those named like an added one.
 """
 
 from __future__ import annotations
@@ -68,21 +68,21 @@ def dedup_lines(docs: DataFrame, window: int = 3) -> DataFrame:
 
     Adds n_lines (lines with a word), n_removed (those deleted) and kept_text.
     """
-    keyed = docs.withColumn("rk", row_key("doc_id", "text"))
-    runs = later_runs(keyed.select("doc_id", "rk", "text"), window)
-    spans = runs.groupBy(F.col("doc_id").alias("_d"), F.col("rk").alias("_r")).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_s"))
-    joined = keyed.join(spans, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("rk") == F.col("_r")), "left")
+    keyed = docs.withColumn("_lx_key", row_key("doc_id", "text"))
+    runs = later_runs(keyed.select("doc_id", F.col("_lx_key").alias("rk"), "text"), window)
+    spans = runs.groupBy(F.col("doc_id").alias("_lx_d"), F.col("rk").alias("_lx_r")).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_lx_s"))
+    joined = keyed.join(spans, F.col("doc_id").eqNullSafe(F.col("_lx_d")) & (F.col("_lx_key") == F.col("_lx_r")), "left")
     lines = F.split(F.col("text"), "\n", -1)
     # what lies between deleted runs; starts and ends rise together
-    gaps = "transform(sequence(0, size(_s)), j -> struct(IF(j = 0, 0, _s[j - 1].end) AS a, IF(j = size(_s), size(_l), _s[j].start) AS b))"
+    gaps = "transform(sequence(0, size(_lx_s)), j -> struct(IF(j = 0, 0, _lx_s[j - 1].end) AS a, IF(j = size(_lx_s), size(_lx_l), _lx_s[j].start) AS b))"
     worded = lambda c: F.size(F.filter(c, lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     return (
-        joined.withColumn("_l", lines)
-        .withColumn("_k", F.expr(f"IF(_s IS NULL, _l, flatten(transform(filter({gaps}, g -> g.b > g.a), g -> slice(_l, g.a + 1, g.b - g.a))))"))
-        .withColumn("n_lines", F.coalesce(worded("_l"), F.lit(0)).cast("long"))
-        .withColumn("n_removed", F.when(F.col("_s").isNull(), F.lit(0)).otherwise(F.col("n_lines") - worded("_k")).cast("long"))
-        .withColumn("kept_text", F.when(F.col("_s").isNull(), F.col("text")).otherwise(F.array_join("_k", "\n")))
-        .drop("_d", "_r", "_s", "_l", "_k", "rk")
+        joined.withColumn("_lx_l", lines)
+        .withColumn("_lx_k", F.expr(f"IF(_lx_s IS NULL, _lx_l, flatten(transform(filter({gaps}, g -> g.b > g.a), g -> slice(_lx_l, g.a + 1, g.b - g.a))))"))
+        .withColumn("n_lines", F.coalesce(worded("_lx_l"), F.lit(0)).cast("long"))
+        .withColumn("n_removed", F.when(F.col("_lx_s").isNull(), F.lit(0)).otherwise(F.col("n_lines") - worded("_lx_k")).cast("long"))
+        .withColumn("kept_text", F.when(F.col("_lx_s").isNull(), F.col("text")).otherwise(F.array_join("_lx_k", "\n")))
+        .drop("_lx_d", "_lx_r", "_lx_s", "_lx_l", "_lx_k", "_lx_key")
     )
 
 

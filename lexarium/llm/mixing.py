@@ -61,30 +61,30 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
     ``docs`` has doc_id, source and size.  ``most`` is 2: two rounds of each queue.
     """
     ident = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    rows = docs.withColumns({"_skey": F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col("source").cast("string"))), "_order": F.md5(F.concat(ident, F.lit(":" + seed)).cast("binary"))})
-    rows = rows.withColumn("_bucket", F.substring("_order", 1, 3))
-    buckets = rows.groupBy("_skey", "_bucket").agg(F.sum("size").alias("words"), F.min("source").alias("source"))
-    sources = buckets.groupBy(F.col("_skey").alias("skey")).agg(F.sum("words").alias("source_size"), F.min("source").alias("source"))
-    before = W.partitionBy("_skey").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    rows = docs.withColumns({"_lx_skey": F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col("source").cast("string"))), "_lx_order": F.md5(F.concat(ident, F.lit(":" + seed)).cast("binary"))})
+    rows = rows.withColumn("_lx_bucket", F.substring("_lx_order", 1, 3))
+    buckets = rows.groupBy("_lx_skey", "_lx_bucket").agg(F.sum("size").alias("words"), F.min("source").alias("source"))
+    sources = buckets.groupBy(F.col("_lx_skey").alias("skey")).agg(F.sum("words").alias("source_size"), F.min("source").alias("source"))
+    before = W.partitionBy("_lx_skey").orderBy("_lx_bucket").rowsBetween(W.unboundedPreceding, -1)
     aims = targets(sources, weights, share, most)
-    start = buckets.select("_skey", "_bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("_start"))
-    info = start.join(aims, start._skey == aims.skey).select(F.col("_skey").alias("_s"), F.col("_bucket").alias("_b"), "_start", "source_size", "target")
-    joined = rows.drop("source_size", "target", "finish", "first_taken", "second_taken").join(info, (F.col("_skey") == F.col("_s")) & (F.col("_bucket") == F.col("_b")))
-    upto = W.partitionBy("_skey", "_bucket").orderBy("_order", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
-    cum = F.col("_start") + F.sum("size").over(upto)
-    line = joined.withColumn("_end", cum).withColumn("finish", F.when(F.col("target") > 0, F.col("_end") / F.col("target")))
+    start = buckets.select("_lx_skey", "_lx_bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("_lx_start"))
+    info = start.join(aims, start._lx_skey == aims.skey).select(F.col("_lx_skey").alias("_lx_s"), F.col("_lx_bucket").alias("_lx_b"), "_lx_start", "source_size", "target")
+    joined = rows.drop("source_size", "target", "finish", "first_taken", "second_taken").join(info, (F.col("_lx_skey") == F.col("_lx_s")) & (F.col("_lx_bucket") == F.col("_lx_b")))
+    upto = W.partitionBy("_lx_skey", "_lx_bucket").orderBy("_lx_order", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
+    cum = F.col("_lx_start") + F.sum("size").over(upto)
+    line = joined.withColumn("_lx_end", cum).withColumn("finish", F.when(F.col("target") > 0, F.col("_lx_end") / F.col("target")))
     # words of a copy that lie before virtual time 1
     goal = F.floor(F.col("target") + 1e-6).cast("long")
     part = lambda begun: F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), goal - begun))
-    return line.withColumns({"first_taken": part(F.col("_end") - F.col("size")), "second_taken": part(F.col("source_size") + F.col("_end") - F.col("size"))}).drop("_skey", "_order", "_bucket", "_s", "_b", "_start", "_end")
+    return line.withColumns({"first_taken": part(F.col("_lx_end") - F.col("size")), "second_taken": part(F.col("source_size") + F.col("_lx_end") - F.col("size"))}).drop("_lx_skey", "_lx_order", "_lx_bucket", "_lx_s", "_lx_b", "_lx_start", "_lx_end")
 
 
 def queue(docs: DataFrame, **params) -> DataFrame:
     """The cut line of copies (copy 0 or 1, words taken), range-sorted by finish time."""
     rows = mix(docs, **params)
     copies = F.array(F.struct(F.lit(0).alias("copy"), F.col("finish").alias("at"), F.col("first_taken").alias("words")), F.struct(F.lit(1).alias("copy"), (F.col("finish") + F.col("source_size") / F.col("target")).alias("at"), F.col("second_taken").alias("words")))
-    line = rows.withColumn("_c", F.explode(copies)).filter("_c.words > 0")
-    return line.withColumns({"copy": F.col("_c.copy"), "finish": F.col("_c.at"), "words": F.col("_c.words")}).drop("_c", "first_taken", "second_taken").orderBy("finish", "doc_id", "copy")
+    line = rows.withColumn("_lx_c", F.explode(copies)).filter("_lx_c.words > 0")
+    return line.withColumns({"copy": F.col("_lx_c.copy"), "finish": F.col("_lx_c.at"), "words": F.col("_lx_c.words")}).drop("_lx_c", "first_taken", "second_taken").orderBy("finish", "doc_id", "copy")
 
 
 def per_document(docs: DataFrame, **params) -> DataFrame:
@@ -97,9 +97,12 @@ def per_document(docs: DataFrame, **params) -> DataFrame:
 def mixed_rows(docs: DataFrame, **params) -> DataFrame:
     """The documents of the mix: a row for each copy, the last copy of a source cut to the words taken."""
     names = docs.columns
-    line = queue(docs.withColumn("size", words_in()), **params)
-    first_words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("words").cast("int")), "")
-    return line.withColumn("text", F.when(F.col("words") < F.col("size"), first_words).otherwise(F.col("text"))).select(names)
+    packed = docs.select("doc_id", "source", words_in().alias("size"), F.struct(*names).alias("_lx_row"))  # so that no name clashes
+    line = queue(packed, **params)
+    text = F.col("_lx_row.text")
+    first_words = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("words").cast("int")), "")
+    cut = F.when(F.col("words") < F.col("size"), first_words).otherwise(text)
+    return line.select(*(cut.alias(n) if n == "text" else F.col(f"_lx_row.`{n}`").alias(n) for n in names))
 
 
 #: DuckDB SQL for ``per_document`` with the default parameters.

@@ -132,8 +132,8 @@ def one_per_group(docs: DataFrame, bits: int = 3, width: int = 3) -> DataFrame:
     Rows without a doc_id can't be named by a group and are kept.
     """
     names = docs.columns
-    keep = near_groups(docs, bits, width).filter("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
+    keep = near_groups(docs, bits, width).filter("doc_id = component_id").select(F.col("doc_id").alias("_lx_keep")).distinct()
     alone = docs.filter("doc_id IS NULL")
-    kept = docs.join(keep, F.col("doc_id") == F.col("_keep"), "inner")
+    kept = docs.join(keep, F.col("doc_id") == F.col("_lx_keep"), "inner")
     order = W.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return kept.withColumn("_n", F.row_number().over(order)).filter("_n = 1").select(names).unionByName(alone)
+    return kept.withColumn("_lx_n", F.row_number().over(order)).filter("_lx_n = 1").select(names).unionByName(alone)

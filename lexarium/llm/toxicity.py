@@ -1,8 +1,8 @@
 """Toxicity by weak supervision: many voters, a generative label model, a linear classifier.
 
 Voters are lexicon and pattern rules: a whole word, a word beginning or a word
-ending that speaks for the toxic class in a bounded sample of labelled
-documents.  A voter either fires on a document or stays silent.  The generative
+ending, present or making up at least one word in a hundred, that speaks for the
+toxic class in a bounded sample of labelled documents.  A voter either fires on a document or stays silent.  The generative
 model has for each voter the chance to fire in either class; voters that fire
 together beyond what the class explains are found from the covariances that
 remain given the class, and correlated voters speak as one.  Expectation-maximisation over the labelled sample, with the labels only as a
@@ -20,6 +20,7 @@ same sampled documents as a stronger one.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from dataclasses import dataclass, field
@@ -37,16 +38,24 @@ def held_out(modulus: int = 4, remainder: int = 2) -> Column:
 
 
 def marks_of(word: str) -> list[str]:
-    """The patterns that a word matches: itself, its beginnings and its endings."""
+    """What a word matches: itself, its beginnings and its endings."""
     n = len(word)
-    return [f"={word}", *(f"^{word[:k]}" for k in range(3, min(7, n + 1))), *(f"{word[-k:]}$" for k in range(4, min(7, n + 1)))]
+    return [f"={word}", *(f"^{word[:k]}" for k in range(3, min(10, n + 1))), *(f"{word[-k:]}$" for k in range(4, min(7, n + 1)))]
+
+
+def is_dense(count: int, words: int) -> bool:
+    """Whether a mark makes up at least one word in a hundred."""
+    return 100 * count >= words
 
 
 def patterns(text: str | None) -> set[str]:
-    out: set[str] = set()
-    for w in set(_WORDS.findall(text.lower())) if text else ():
-        out.update(marks_of(w))
-    return out
+    """The marks that a text's words match, and those that are dense in it (with a plus sign)."""
+    words = _WORDS.findall(text.lower()) if text else []
+    count: Counter = Counter()
+    for w, c in Counter(words).items():
+        for m in marks_of(w):
+            count[m] += c
+    return count.keys() | {m + "+" for m, c in count.items() if is_dense(c, len(words))}
 
 
 @dataclass
@@ -74,7 +83,7 @@ class LabelModel:
             z += np.where(v.any(1), np.where(v, on[members], -np.inf).max(1, initial=-40), silent)
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
-    def fit(self, votes: np.ndarray, seeds: np.ndarray, rounds: int = 15, strength: float = 1.0) -> "LabelModel":
+    def fit(self, votes: np.ndarray, seeds: np.ndarray, rounds: int = 15, strength: float = 4.0) -> "LabelModel":
         """EM from the seed labels, which stay a prior worth ``strength`` of their number."""
         p = seeds.astype(float)
         for _ in range(rounds):
@@ -114,18 +123,24 @@ class Linear:
     weights: dict = field(default_factory=dict)  # pattern: weight
     intercept: float = -40.0
 
-    def score(self, text: str | None, cache: dict) -> float:
+    def marks(self) -> set[str]:
+        """The marks that the weighted patterns are about."""
+        return {p.rstrip("+") for p in self.weights}
+
+    def score(self, text: str | None, marks: set[str], cache: dict) -> float:
         z = self.intercept
-        if text:
-            seen: set = set()
-            for w in set(_WORDS.findall(text.lower())):
-                got = cache.get(w)
-                if got is None:
-                    got = cache[w] = tuple(m for m in marks_of(w) if m in self.weights)
-                if got:
-                    seen.update(got)
-            z += sum(sorted(self.weights[m] for m in seen))
-        return 1 / (1 + float(np.exp(-min(max(z, -40.0), 40.0))))
+        words = _WORDS.findall(text.lower()) if text else []
+        count: dict = {}
+        for w, c in Counter(words).items():
+            got = cache.get(w)
+            if got is None:
+                got = cache[w] = tuple(m for m in marks_of(w) if m in marks)
+            for m in got:
+                count[m] = count.get(m, 0) + c
+        if count:
+            get = self.weights.get
+            z += math.fsum(get(m, 0.0) + (get(m + "+", 0.0) if is_dense(c, len(words)) else 0.0) for m, c in count.items())
+        return 1 / (1 + math.exp(-min(max(z, -40.0), 40.0)))
 
 
 _SKETCH = 1 << 22
@@ -134,33 +149,39 @@ _SKETCH = 1 << 22
 def candidates(texts: list[str | None], toxic: np.ndarray, most: int) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Patterns that are frequent enough and skewed to the toxic class, with their log lifts and firings (documents x patterns).
 
-    Patterns are read from the texts three times and never held for all of them:
-    counters of hashed patterns first tell which may be frequent.
+    Patterns are never held for all texts: counters of hashed patterns first
+    tell which may be frequent, and only those are kept, as numbers.
     """
     n1, n0 = int(toxic.sum()), int((~toxic).sum())
     least = max(4, int(0.02 * n1))
     counters = np.zeros(_SKETCH, np.int32)
-    place = lambda marks: np.fromiter((hash(m) % _SKETCH for m in marks), np.int64, len(marks))
-    for t, y in zip(texts, toxic):
-        if y:
-            counters[np.unique(place(patterns(t)))] += 1
-    pos: Counter = Counter()
     for t, y in zip(texts, toxic):
         if y:
-            pos.update(m for m in patterns(t) if counters[hash(m) % _SKETCH] >= least)
-    pos = {m: c for m, c in pos.items() if c >= least}
-    neg: Counter = Counter()
+            p = patterns(t)
+            counters[np.unique(np.fromiter((hash(m) % _SKETCH for m in p), np.int64, len(p)))] += 1
+    number: dict[str, int] = {}
+    rows = []
+    frequent = (counters >= least).tolist()
     for t, y in zip(texts, toxic):
-        if not y:
-            neg.update(pos.keys() & patterns(t))
-    lift = {m: float(np.log(((c + 0.5) / n1) / ((neg[m] + 0.5) / n0))) for m, c in pos.items()}
-    names = sorted((m for m in pos if lift[m] > 2), key=lambda m: (-lift[m] * np.sqrt(pos[m]), m))[:most]
-    at = {m: i for i, m in enumerate(names)}
-    fires = np.zeros((len(texts), len(names)), bool)
+        if y:  # only toxic texts add patterns, so those go first
+            rows.append([number.setdefault(m, len(number)) for m in patterns(t) if frequent[hash(m) % _SKETCH]])
+        else:
+            rows.append(None)
     for r, t in enumerate(texts):
-        for m in at.keys() & patterns(t):
-            fires[r, at[m]] = True
-    return names, np.array([lift[m] for m in names]), fires
+        if rows[r] is None:
+            rows[r] = [number[m] for m in number.keys() & patterns(t)]
+    count = lambda y: np.bincount([k for r, z in zip(rows, toxic) if z == y for k in r], minlength=len(number))
+    pos, neg = count(True), count(False)
+    lift = np.log(((pos + 0.5) / n1) / ((neg + 0.5) / n0))
+    names = list(number)
+    order = sorted(np.flatnonzero((pos >= least) & (lift > 2)).tolist(), key=lambda k: (-lift[k] * np.sqrt(pos[k]), names[k]))[:most]
+    place = np.full(len(names), -1)
+    place[order] = np.arange(len(order))
+    fires = np.zeros((len(texts), len(order)), bool)
+    for r, ks in enumerate(rows):
+        at = place[ks] if ks else np.zeros(0, int)
+        fires[r, at[at >= 0]] = True
+    return [names[k] for k in order], lift[order], fires
 
 
 def distinct(fires: np.ndarray, most: int, overlap: float = 0.8) -> list[int]:
@@ -224,10 +245,11 @@ def score(docs: DataFrame, model: Linear) -> DataFrame:
 
     def run(batches):
         m, cache = sent.value, {}
+        marks = m.marks()
         for b in batches:
             s = []
             for t in b.column(2).to_pylist():
-                s.append(m.score(t, cache))
+                s.append(m.score(t, marks, cache))
                 if len(cache) > 300_000:
                     cache.clear()
             s = np.array(s)
