@@ -57,6 +57,16 @@ def align_words(a: list[str], b: list[str]) -> tuple[list[tuple[int, int]], floa
     return pairs, len(pairs) / len(a) if a else 0.0
 
 
+def _apart(df: DataFrame) -> DataFrame:
+    """The frame under new attributes: a cogroup of two frames made from one confuses those they share."""
+    return df.select(*(F.col(c).alias(c) for c in df.columns))
+
+
+def _typed(rows: list, kinds: dict[str, str]) -> pd.DataFrame:
+    """A frame whose column types do not depend on there being rows."""
+    return pd.DataFrame(rows, columns=list(kinds)).astype(kinds)
+
+
 def align_documents(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Aligned lines of two versions of each document: key, line_a, line_b, kind, coverage of words.
 
@@ -64,16 +74,18 @@ def align_documents(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """
 
     def run(l, r):
+        if "line_no" not in l.columns or "line_no" not in r.columns or not len(l) or not len(r):  # a missing side has no columns
+            return _typed([], {key: "int64", "line_a": "int64", "line_b": "int64", "kind": "object", "coverage": "float64"})
         l, r = l.sort_values("line_no"), r.sort_values("line_no")
         a, b = l["line"].tolist(), r["line"].tolist()
-        doc = (l if len(l) else r)[key].iloc[0]
+        doc = l[key].iloc[0]
         rows = []
         for i, j, kind in align_lines(a, b):
             cover = align_words(a[i].split(), b[j].split())[1]
             rows.append((doc, int(l["line_no"].iloc[i]), int(r["line_no"].iloc[j]), kind if cover >= 0.75 or not a[i].split() else "span_fallback", cover))
-        return pd.DataFrame(rows, columns=[key, "line_a", "line_b", "kind", "coverage"])
+        return _typed(rows, {key: "int64", "line_a": "int64", "line_b": "int64", "kind": "object", "coverage": "float64"})
 
-    return left.groupBy(key).cogroup(right.groupBy(key)).applyInPandas(run, f"{key} long, line_a long, line_b long, kind string, coverage double")
+    return left.groupBy(key).cogroup(_apart(right).groupBy(key)).applyInPandas(run, f"{key} long, line_a long, line_b long, kind string, coverage double")
 
 
 def assign_titles(heads: list[tuple[int, list[str], list[int]]], titles: list[tuple[int, list[str], list[int]]], least: float = 0.3, margin: float = 0.05) -> list[tuple[int, int, float, str]]:
@@ -100,13 +112,13 @@ def assign(units: DataFrame, titles: DataFrame, key: str) -> DataFrame:
     """Pairs of units and titles (id, tokens, numbers) that share ``key``: key, unit, title, score, how."""
 
     def run(u, t):
-        if not len(u) or not len(t):
-            return pd.DataFrame(columns=[key, "unit", "title", "score", "how"])
+        if "id" not in u.columns or "id" not in t.columns or not len(u) or not len(t):  # a missing side has no columns
+            return _typed([], {key: "int64", "unit": "int64", "title": "int64", "score": "float64", "how": "object"})
         pick = lambda d: [(int(i), list(x), list(n)) for i, x, n in zip(d["id"], d["tokens"], d["numbers"])]
         rows = assign_titles(pick(u.sort_values("id")), pick(t.sort_values("id")))
-        return pd.DataFrame([(u[key].iloc[0], *r) for r in rows], columns=[key, "unit", "title", "score", "how"])
+        return _typed([(u[key].iloc[0], *r) for r in rows], {key: "int64", "unit": "int64", "title": "int64", "score": "float64", "how": "object"})
 
-    return units.groupBy(key).cogroup(titles.groupBy(key)).applyInPandas(run, f"{key} long, unit long, title long, score double, how string")
+    return units.groupBy(key).cogroup(_apart(titles).groupBy(key)).applyInPandas(run, f"{key} long, unit long, title long, score double, how string")
 
 
 def parse_names(text: str, own: set[str], every: set[str]) -> list[str]:

@@ -16,6 +16,10 @@ DROP = {"script", "style", "nav", "footer", "head", "aside", "form", "noscript"}
 BLOCK = {"p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "th", "pre", "blockquote", "dt", "dd", "figcaption"}
 
 
+#: Openers that end a paragraph (fixed by HTML).
+ENDS_P = {"p", "div", "ul", "ol", "dl", "table", "pre", "blockquote", "section", "article", "header", "footer", "nav", "aside", "form", "h1", "h2", "h3", "h4", "h5", "h6"}
+
+
 class _Blocks(HTMLParser):
     """Collects (path, tag, lang, linked, text) of blocks; a closing tag ends whatever lies open above its opener."""
 
@@ -30,8 +34,10 @@ class _Blocks(HTMLParser):
         if tag in VOID:
             self._say(" ")
             return
-        if tag in ("p", "li") and any(t == tag for t, *_ in self.open[-2:]):
-            self.handle_endtag(tag)
+        if tag in ENDS_P and self.open and self.open[-1][0] == "p":
+            self.handle_endtag("p")
+        if tag == "li" and next((t for t, *_ in reversed(self.open) if t in ("li", "ul", "ol")), "") == "li":
+            self.handle_endtag("li")
         n = self.counts[-1].setdefault(tag, 0) + 1
         self.counts[-1][tag] = n
         a = dict(attrs)

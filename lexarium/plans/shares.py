@@ -38,15 +38,20 @@ wk AS (SELECT DISTINCT genre, work FROM ws),
 wd AS (SELECT wk.genre, wk.work, ts.topic, coalesce(ws.share, 0) AS share FROM wk CROSS JOIN ts LEFT JOIN ws ON wk.work = ws.work AND ts.topic = ws.topic)"""
 
 
+def units():
+    """Shares summed as whole hundred-thousandths, so that the sum does not depend on its order."""
+    return F.sum(F.round(F.col("share") * 100_000).cast("long")).alias("units")
+
+
 def dense(spark: SparkSession, sf: str) -> DataFrame:
     return S.grid(work_shares(spark, sf), ["genre", "work"], "topic").select("genre", "work", "topic", "share")
 
 
 @query(f"""WITH {_WORKS}
-SELECT genre, topic, round(avg(share), 5) AS mean_share, round(median(share), 5) AS median_share, count(*) FILTER (share > 0) AS n_with, count(*) AS n_works FROM wd GROUP BY genre, topic""")
+SELECT genre, topic, CAST((2 * sum(CAST(round(share * 100000) AS BIGINT)) + count(*)) // (2 * count(*)) AS DOUBLE) / 100000.0::DOUBLE AS mean_share, round(median(share), 6) AS median_share, count(*) FILTER (share > 0) AS n_with, count(*) AS n_works FROM wd GROUP BY genre, topic""")
 def genre_topic_share(spark, sf):
-    g = dense(spark, sf).groupBy("genre", "topic")
-    return g.agg(F.round(F.avg("share"), 5).alias("mean_share"), F.round(F.median("share"), 5).alias("median_share"), F.count_if(F.col("share") > 0).alias("n_with"), F.count("*").alias("n_works"))
+    g = dense(spark, sf).groupBy("genre", "topic").agg(units(), F.round(F.median("share"), 6).alias("median_share"), F.count_if(F.col("share") > 0).alias("n_with"), F.count("*").alias("n_works"))
+    return g.withColumn("mean_share", S.rounded_ratio("units", "n_works", 5, 5)).drop("units")
 
 
 @query(f"""WITH {_CHUNKS}, t AS (SELECT edition, sum(words) AS w FROM chunks GROUP BY edition)
@@ -102,10 +107,10 @@ def top_n_topics_with_remainder(spark, sf):
     return S.top_with_rest(s, ["g"], "topic", "share", 5)
 
 
-@query(f"""WITH {_WORKS}, m AS (SELECT genre, topic, round(avg(share), 5) AS mean FROM wd GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY mean DESC, genre) AS k, count(*) OVER (PARTITION BY topic) AS n FROM m)
+@query(f"""WITH {_WORKS}, m AS (SELECT genre, topic, CAST((2 * sum(CAST(round(share * 100000) AS BIGINT)) + count(*)) // (2 * count(*)) AS DOUBLE) / 100000.0::DOUBLE AS mean FROM wd GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY mean DESC, genre) AS k, count(*) OVER (PARTITION BY topic) AS n FROM m)
 SELECT topic, max(genre) FILTER (k = 1) AS highest, max(genre) FILTER (k = 2) AS second, max(genre) FILTER (k = n) AS lowest, round(max(mean) FILTER (k = 1) / max(mean) FILTER (k = 2), 4) AS ratio FROM r GROUP BY topic""")
 def rank_first_second_last(spark, sf):
-    m = dense(spark, sf).groupBy("genre", "topic").agg(F.round(F.avg("share"), 5).alias("mean"))
+    m = dense(spark, sf).groupBy("genre", "topic").agg(units(), F.count("*").alias("n_works")).withColumn("mean", S.rounded_ratio("units", "n_works", 5, 5))
     every = W.partitionBy("topic")
     r = m.withColumn("k", F.row_number().over(every.orderBy(F.desc("mean"), "genre"))).withColumn("n", F.count("*").over(every))
     at = lambda cond, c: F.max(F.when(cond, F.col(c)))
@@ -234,21 +239,21 @@ def shared_exclusive_inventory(spark, sf):
 
 @query(f"""WITH {_WORKS}, m AS (SELECT topic, avg(share) FILTER (genre = 'EUROPE') AS a, avg(share) FILTER (genre <> 'EUROPE') AS b, count(*) FILTER (genre = 'EUROPE' AND share > 0) AS with_a, count(*) FILTER (genre <> 'EUROPE' AND share > 0) AS with_b FROM wd GROUP BY topic),
 k AS (SELECT topic, work, share / sum(share) OVER (PARTITION BY topic) AS part, row_number() OVER (PARTITION BY topic ORDER BY share DESC, work) AS r FROM wd WHERE genre = 'EUROPE')
-SELECT m.topic, round(a, 6) AS mean_a, round(b, 6) AS mean_b, round(100 * (a - b), 4) AS diff_pp, round(a / b, 4) AS ratio, with_a, with_b, work AS top_work, round(part, 6) AS top_part, part >= 0.5 AS one_work FROM m JOIN k ON m.topic = k.topic AND r = 1""")
+SELECT m.topic, round(a, 9) AS mean_a, round(b, 9) AS mean_b, round(100 * (a - b), 7) AS diff_pp, round(a / b, 4) AS ratio, with_a, with_b, work AS top_work, round(part, 6) AS top_part, part >= 0.5 AS one_work FROM m JOIN k ON m.topic = k.topic AND r = 1""")
 def group_contrast(spark, sf):
     """One group against all others, topic by topic, with the work that gives most to it."""
     d = dense(spark, sf)
     own = F.col("genre") == "EUROPE"
     m = d.groupBy("topic").agg(F.avg(F.when(own, F.col("share"))).alias("a"), F.avg(F.when(~own, F.col("share"))).alias("b"), F.count_if(own & (F.col("share") > 0)).alias("with_a"), F.count_if(~own & (F.col("share") > 0)).alias("with_b"), F.sum(F.when(own, F.col("share"))).alias("s"), F.min(F.when(own, F.struct((-F.col("share")).alias("m"), "work"))).alias("top"))
     part = -F.col("top.m") / F.col("s")
-    return m.select("topic", F.round("a", 6).alias("mean_a"), F.round("b", 6).alias("mean_b"), F.round(100 * (F.col("a") - F.col("b")), 4).alias("diff_pp"), F.round(F.col("a") / F.col("b"), 4).alias("ratio"), "with_a", "with_b", F.col("top.work").alias("top_work"), F.round(part, 6).alias("top_part"), (part >= 0.5).alias("one_work"))
+    return m.select("topic", F.round("a", 9).alias("mean_a"), F.round("b", 9).alias("mean_b"), F.round(100 * (F.col("a") - F.col("b")), 7).alias("diff_pp"), F.round(F.col("a") / F.col("b"), 4).alias("ratio"), "with_a", "with_b", F.col("top.work").alias("top_work"), F.round(part, 6).alias("top_part"), (part >= 0.5).alias("one_work"))
 
 
 @query(f"""WITH {_WORKS}, a AS (SELECT topic, avg(share) AS mean, median(share) AS med, count(*) FILTER (share > 0) / count(*) AS prevalence FROM wd GROUP BY topic), k AS (SELECT topic, share / sum(share) OVER (PARTITION BY topic) AS part, row_number() OVER (PARTITION BY topic ORDER BY share DESC, work) AS r FROM wd)
-SELECT a.topic, round(mean, 6) AS mean_share, round(med, 6) AS median_share, round(prevalence, 6) AS prevalence, part >= 0.5 AS single_work FROM a JOIN k ON a.topic = k.topic AND r = 1""")
+SELECT a.topic, round(mean, 9) AS mean_share, round(med, 6) AS median_share, round(prevalence, 6) AS prevalence, part >= 0.5 AS single_work FROM a JOIN k ON a.topic = k.topic AND r = 1""")
 def topic_table(spark, sf):
     """Mean, median and prevalence of topics over works, and whether one work carries a topic."""
-    a = dense(spark, sf).groupBy("topic").agg(F.round(F.avg("share"), 6).alias("mean_share"), F.round(F.median("share"), 6).alias("median_share"), F.round(F.count_if(F.col("share") > 0) / F.count("*"), 6).alias("prevalence"), (F.max("share") / F.sum("share") >= 0.5).alias("single_work"))
+    a = dense(spark, sf).groupBy("topic").agg(F.round(F.avg("share"), 9).alias("mean_share"), F.round(F.median("share"), 6).alias("median_share"), F.round(F.count_if(F.col("share") > 0) / F.count("*"), 6).alias("prevalence"), (F.max("share") / F.sum("share") >= 0.5).alias("single_work"))
     return a
 
 
@@ -287,9 +292,9 @@ def bootstrap_jsd(spark, sf):
 
 
 @query(f"""WITH {_WORKS}, s AS (SELECT topic, avg(share) FILTER (genre = 'ASIA') AS a, avg(share) FILTER (genre = 'AMERICA') AS b FROM wd GROUP BY topic), r AS (SELECT *, row_number() OVER (ORDER BY (a + b) / 2 DESC, topic) AS k FROM s)
-SELECT topic, CAST(k AS BIGINT) AS position, round(a, 6) AS mean_a, round(b, 6) AS mean_b, round(sum((a + b) / 2) OVER (), 5) AS top_sum FROM r WHERE k <= 10""")
+SELECT topic, CAST(k AS BIGINT) AS position, round(a, 9) AS mean_a, round(b, 9) AS mean_b, round(sum((a + b) / 2) OVER (), 8) AS top_sum FROM r WHERE k <= 10""")
 def two_side_overview(spark, sf):
     """The ten topics that lead by the mean of two groups' means."""
     s = dense(spark, sf).groupBy("topic").agg(F.avg(F.when(F.col("genre") == "ASIA", F.col("share"))).alias("a"), F.avg(F.when(F.col("genre") == "AMERICA", F.col("share"))).alias("b")).withColumn("m", (F.col("a") + F.col("b")) / 2)
     top = s.orderBy(F.desc("m"), "topic").limit(10)  # the report's ten rows
-    return top.select("topic", F.row_number().over(W.orderBy(F.desc("m"), "topic")).cast("long").alias("position"), F.round("a", 6).alias("mean_a"), F.round("b", 6).alias("mean_b"), F.round(F.sum("m").over(W.partitionBy()), 5).alias("top_sum"))
+    return top.select("topic", F.row_number().over(W.orderBy(F.desc("m"), "topic")).cast("long").alias("position"), F.round("a", 9).alias("mean_a"), F.round("b", 9).alias("mean_b"), F.round(F.sum("m").over(W.partitionBy()), 8).alias("top_sum"))

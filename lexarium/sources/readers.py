@@ -48,7 +48,7 @@ def read_ragged(spark: SparkSession, path: str, columns: list[str], anchor: str,
 
 def read_lines(spark: SparkSession, glob: str) -> DataFrame:
     """file, line_no (from 0), text of each line of the files, in whole-file scans."""
-    whole = spark.read.option("wholetext", True).text(glob).select(F.col("_metadata.file_name").alias("file"), "value")
+    whole = spark.read.text(glob, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
     return whole.select("file", F.posexplode(F.split("value", "\n")).alias("line_no", "text"))
 
 
