@@ -28,7 +28,9 @@ def topic_centroids(spark, sf):
 
 def similarities(spark, sf):
     v = vectors(spark, sf)
-    c = T.centroid_arrays(v, "topic", "embedding")  # one row a cluster: a reviewed dimension
+    if v.select("topic").distinct().limit(10_001).count() > 10_000:
+        raise ValueError("centroids are broadcast: at most 10,000 clusters")
+    c = T.centroid_arrays(v, "topic", "embedding")
     return v.select("vec_id", "other", F.col("topic").alias("own"), "embedding").crossJoin(F.broadcast(c)).select("vec_id", "other", "own", "topic", F.round(cosine(F.col("embedding"), F.col("centroid")), 9).alias("s"))
 
 

@@ -45,10 +45,10 @@ def fallback_row_join(spark, sf):
     return table(spark, sf, "customer").select("c_custkey").join(o, "c_custkey", "left").select("c_custkey", "o.o_orderkey", F.coalesce("o.o_orderpriority", F.lit("")).alias("priority"), F.coalesce(F.col("o.m") == 0, F.lit(False)).alias("matched"))
 
 
-@query("""WITH a AS (SELECT c_custkey, CASE WHEN o_orderkey IS NOT NULL THEN 'exact' WHEN n_nationkey IS NOT NULL THEN 'base' ELSE 'none' END AS how, row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderkey) AS k FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 4 = 0) ON o_custkey = c_custkey LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < 3) ON n_nationkey = c_nationkey) SELECT how, count(*) AS n FROM a WHERE k = 1 GROUP BY how""")
+@query("""WITH a AS (SELECT c_custkey, CASE WHEN o_orderkey IS NOT NULL THEN 'exact' WHEN n_nationkey IS NOT NULL THEN 'base' ELSE 'none' END AS how, row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderkey) AS k FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderpriority = '1-URGENT') ON o_custkey = c_custkey LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < 3) ON n_nationkey = c_nationkey) SELECT how, count(*) AS n FROM a WHERE k = 1 GROUP BY how""")
 def cascading_match(spark, sf):
     """How each key finds its partner: itself, by a coarser key, or not at all."""
-    exact = table(spark, sf, "orders").filter("o_orderkey % 4 = 0").select(F.col("o_custkey").alias("c_custkey"), F.lit(True).alias("e")).distinct()
+    exact = table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"), F.lit(True).alias("e")).distinct()
     base = table(spark, sf, "nation").filter("n_regionkey < 3").select(F.col("n_nationkey").alias("c_nationkey"), F.lit(True).alias("b"))
     c = table(spark, sf, "customer").select("c_custkey", "c_nationkey").join(exact, "c_custkey", "left").join(base, "c_nationkey", "left")
     return c.groupBy(F.when(F.col("e"), "exact").when(F.col("b"), "base").otherwise("none").alias("how")).agg(F.count("*").alias("n"))
@@ -64,13 +64,14 @@ def differing_fields(spark, sf):
     return j.select("l_orderkey", "l_linenumber", "other", diff.alias("differing"))
 
 
-@query("""WITH t AS (SELECT p_partkey, p_brand, list_distinct(regexp_extract_all(lower(p_type || ' ' || p_brand), '[a-z0-9]+')) AS s FROM part WHERE p_size <= 10), u AS (SELECT p_partkey, p_brand, list_distinct(regexp_extract_all(lower(p_type), '[a-z0-9]+')) AS s FROM part WHERE p_size > 40) SELECT u.p_partkey AS small, t.p_partkey AS large FROM u JOIN t ON len(list_filter(u.s, lambda x: NOT list_contains(t.s, x))) = 0 AND u.p_brand = t.p_brand""")
+@query("""WITH t AS (SELECT DISTINCT p_type || ' ' || p_brand AS large, list_distinct(regexp_extract_all(lower(p_type || ' ' || p_brand), '[a-z0-9]+')) AS s FROM part), u AS (SELECT DISTINCT p_type AS small, list_distinct(regexp_extract_all(lower(p_type), '[a-z0-9]+')) AS s FROM part) SELECT small, large FROM u JOIN t ON len(list_filter(u.s, lambda x: NOT list_contains(t.s, x))) = 0""")
 def token_subset_join(spark, sf):
-    """Names whose tokens all occur in another name of the same brand."""
+    """Names whose tokens all occur in another name: distinct names meet on their first token, then whole sets decide."""
     p = table(spark, sf, "part")
-    t = p.filter("p_size <= 10").select("p_brand", F.col("p_partkey").alias("large"), token_set(F.concat_ws(" ", "p_type", "p_brand")).alias("t"))
-    u = p.filter("p_size > 40").select("p_brand", F.col("p_partkey").alias("small"), token_set(F.col("p_type")).alias("u"))
-    return u.join(t, "p_brand").filter(F.size(F.array_except("u", "t")) == 0).select("small", "large")
+    t = p.select(F.concat_ws(" ", "p_type", "p_brand").alias("large")).distinct().withColumn("t", token_set(F.col("large")))
+    u = p.select(F.col("p_type").alias("small")).distinct().withColumn("u", token_set(F.col("small")))
+    met = u.withColumn("k", F.get("u", F.lit(0))).join(t.withColumn("k", F.explode("t")), "k")
+    return met.filter(F.size(F.array_except("u", "t")) == 0).select("small", "large")
 
 
 @query("""WITH s AS (SELECT p_brand, p_retailprice, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice) - 1 AS i, count(*) OVER (PARTITION BY p_brand) AS n FROM part) SELECT p_brand, max(p_retailprice) FILTER (i = n // 10) AS p10, max(p_retailprice) FILTER (i = n // 2) AS p50, max(p_retailprice) FILTER (i = 9 * n // 10) AS p90 FROM s GROUP BY p_brand""")
@@ -110,12 +111,12 @@ def mixed_granularity(spark, sf):
     return li.cube("l_returnflag", "y").agg(F.count("*").alias("n"), F.sum("q").alias("words")).select(F.coalesce("l_returnflag", F.lit("ALL")).alias("flag"), F.coalesce("y", F.lit("ALL")).alias("yr"), "n", "words")
 
 
-@query("""WITH k AS (SELECT o_orderkey, o_custkey || '.' || (o_orderkey % 13) || '.x' || (o_orderkey % 3) AS id, o_custkey, o_orderkey % 13 AS a, o_orderkey % 3 AS b FROM orders WHERE o_custkey < 100) SELECT o_orderkey, id, CAST(row_number() OVER (ORDER BY o_custkey, a, b, o_orderkey) AS BIGINT) AS place FROM k""")
+@query("""WITH k AS (SELECT o_orderkey, o_custkey || '.' || (o_orderkey % 13) || '.x' || (o_orderkey % 3) AS id, o_custkey, o_orderkey % 13 AS a, o_orderkey % 3 AS b FROM orders) SELECT o_orderkey, id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY a, b, o_orderkey) AS BIGINT) AS place FROM k""")
 def natural_sort(spark, sf):
-    """Dotted ids in natural order: numbers by value, words by letters (a short list: one window)."""
-    k = table(spark, sf, "orders").filter("o_custkey < 100").select("o_orderkey", F.concat_ws(".", F.col("o_custkey").cast("string"), (F.col("o_orderkey") % 13).cast("string"), F.concat(F.lit("x"), (F.col("o_orderkey") % 3).cast("string"))).alias("id"))
+    """Dotted ids of each customer in natural order: numbers by value, words by letters."""
+    k = table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.concat_ws(".", F.col("o_custkey").cast("string"), (F.col("o_orderkey") % 13).cast("string"), F.concat(F.lit("x"), (F.col("o_orderkey") % 3).cast("string"))).alias("id"))
     key = F.transform(F.split("id", r"\."), lambda x: F.struct(x.rlike("^[0-9]+$").alias("num"), F.coalesce(x.try_cast("int"), F.lit(0)).alias("n"), x.alias("s")))
-    return k.select("o_orderkey", "id", F.row_number().over(W.orderBy(key, "o_orderkey")).cast("long").alias("place"))
+    return k.select("o_orderkey", "id", F.row_number().over(W.partitionBy("o_custkey").orderBy(key, "o_orderkey")).cast("long").alias("place"))
 
 
 @query("""WITH p AS (SELECT doc_id, list_transform(string_split('1/' || (doc_id % 12) || CASE WHEN doc_id % 3 = 0 THEN '' ELSE '/' || (doc_id % 30) END, '/'), lambda x: CAST(x AS INTEGER)) AS path FROM documents) SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id % 5 ORDER BY path, doc_id) AS BIGINT) AS place, len(path) AS depth FROM p""")
@@ -150,10 +151,10 @@ def first_seen(spark, sf):
     return e.select("user_id", "event_type", "f.event_id", "f.value")
 
 
-@query("""SELECT DISTINCT c_custkey AS k, 'main' AS origin FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT DISTINCT o_custkey, 'added' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0)""")
+@query("""SELECT DISTINCT c_custkey AS k, 'main' AS origin FROM customer WHERE c_mktsegment <> 'BUILDING' UNION ALL SELECT DISTINCT o_custkey, 'added' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING')""")
 def conditional_union(spark, sf):
     """A table with the rows of another that it lacks."""
-    main = table(spark, sf, "customer").filter("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("k"))
+    main = table(spark, sf, "customer").filter("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("k"))
     more = table(spark, sf, "orders").select(F.col("o_custkey").alias("k")).distinct().join(main, "k", "left_anti")
     return main.withColumn("origin", F.lit("main")).unionByName(more.withColumn("origin", F.lit("added")))
 

@@ -99,12 +99,12 @@ def frame_attribution(spark, sf):
     return g.select("path", "n_works", F.when(one, F.col("m")).alias("attributed"), F.when(one, "unique").otherwise("pending").alias("status"), "n_lines")
 
 
-@query("""WITH o AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 2 = 0), n AS (SELECT doc_id, sha256(CASE WHEN doc_id % 8 = 0 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 4 IN (0, 1)) SELECT o.doc_id, CASE WHEN n.h IS NULL OR n.h = o.h THEN 'kept' ELSE 'stale' END AS status FROM o LEFT JOIN n ON o.doc_id = n.doc_id UNION ALL SELECT doc_id, 'added' FROM n WHERE doc_id NOT IN (SELECT doc_id FROM o)""")
+@query("""WITH o AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE lang IN ('en', 'de')), n AS (SELECT doc_id, sha256(CASE WHEN n_chars > 3000 THEN text || '!' ELSE text END) AS h FROM documents WHERE lang IN ('en', 'fr')) SELECT o.doc_id, CASE WHEN n.h IS NULL OR n.h = o.h THEN 'kept' ELSE 'stale' END AS status FROM o LEFT JOIN n ON o.doc_id = n.doc_id UNION ALL SELECT doc_id, 'added' FROM n WHERE doc_id NOT IN (SELECT doc_id FROM o)""")
 def decision_merge(spark, sf):
     """New decisions appended, old ones never overwritten, stale text hashes marked."""
     d = table(spark, sf, "documents")
-    old = d.filter("doc_id % 2 = 0").select("doc_id", F.sha2("text", 256).alias("h"))
-    new = d.filter("doc_id % 4 IN (0, 1)").select("doc_id", F.sha2(F.when(F.col("doc_id") % 8 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("h"))
+    old = d.filter("lang IN ('en', 'de')").select("doc_id", F.sha2("text", 256).alias("h"))
+    new = d.filter("lang IN ('en', 'fr')").select("doc_id", F.sha2(F.when(F.col("n_chars") > 3000, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("h"))
     return R.merge_decisions(old, new, ["doc_id"], "h").select("doc_id", "status")
 
 
@@ -115,10 +115,10 @@ def key_set_reconcile(spark, sf):
     return a.join(b, "doc_id", "left_anti").withColumn("side", F.lit("missing")).unionByName(b.join(a, "doc_id", "left_anti").withColumn("side", F.lit("extra")))
 
 
-@query("""WITH e AS (SELECT o_custkey AS work, o_orderkey AS edition, CASE WHEN o_orderkey % 5 = 0 THEN 'primary' ELSE 'other' END AS relation, o_orderstatus AS src FROM orders) SELECT work, CASE WHEN n = 0 THEN 'no primary' ELSE 'several primaries' END AS violation, n FROM (SELECT work, count(*) FILTER (relation = 'primary') AS n FROM e GROUP BY work) WHERE n <> 1""")
+@query("""WITH e AS (SELECT o_custkey AS work, o_orderkey AS edition, CASE WHEN o_orderpriority = '1-URGENT' THEN 'primary' ELSE 'other' END AS relation, o_orderstatus AS src FROM orders) SELECT work, CASE WHEN n = 0 THEN 'no primary' ELSE 'several primaries' END AS violation, n FROM (SELECT work, count(*) FILTER (relation = 'primary') AS n FROM e GROUP BY work) WHERE n <> 1""")
 def integrity_violations(spark, sf):
     """Works without exactly one primary edition."""
-    n = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("work")).agg(F.count_if(F.col("o_orderkey") % 5 == 0).alias("n")).filter("n <> 1")
+    n = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("work")).agg(F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("n")).filter("n <> 1")
     return n.select("work", F.when(F.col("n") == 0, "no primary").otherwise("several primaries").alias("violation"), "n")
 
 

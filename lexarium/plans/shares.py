@@ -124,13 +124,13 @@ def percent_below_rank(spark, sf):
     return c.select("c_custkey", "c_mktsegment", F.round(S.percent_below("c_acctbal", ["c_mktsegment"]), 6).alias("pct"))
 
 
-_P = "p AS (SELECT p_brand, p_partkey, 1 / (1 + abs(p_retailprice - 1000)) AS p FROM part WHERE p_size <= 15)"
+_P = "p AS (SELECT p_brand, p_partkey, 1 / (1 + abs(p_retailprice - 1000)) AS p FROM part)"
 
 
 @query(f"""WITH {_P}, r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p, p_partkey) AS k, count(*) OVER (PARTITION BY p_brand) AS n FROM p)
 SELECT p_brand, p_partkey, round(p, 9) AS p, round(least(1.0, min(p * n / k) OVER (PARTITION BY p_brand ORDER BY k DESC ROWS UNBOUNDED PRECEDING)), 9) AS q FROM r""")
 def bh_adjust(spark, sf):
-    p = table(spark, sf, "part").filter("p_size <= 15").select("p_brand", "p_partkey", (1 / (1 + F.abs(F.col("p_retailprice") - 1000))).alias("p"))
+    p = table(spark, sf, "part").select("p_brand", "p_partkey", (1 / (1 + F.abs(F.col("p_retailprice") - 1000))).alias("p"))
     return S.adjust(p, "p", ["p_brand"]).select("p_brand", "p_partkey", F.round("p", 9).alias("p"), F.round("q", 9).alias("q"))
 
 
@@ -198,7 +198,7 @@ def leave_one_out_nearest(spark, sf):
     """The group whose mean profile is nearest to each work, its own group's without the work."""
     w = dense(spark, sf).withColumn("s", F.sum("share").over(W.partitionBy("work"))).filter("s > 0").select("genre", "work", "topic", (F.col("share") / F.col("s")).alias("p"))
     g = w.groupBy("genre", "topic").agg(F.sum("p").alias("s"), F.count("*").alias("n")).withColumnRenamed("genre", "other")
-    l = w.join(F.broadcast(g), "topic")  # groups x topics rows: both reviewed dimensions
+    l = w.join(g, "topic")  # groups x topics rows; measured before they are broadcast
     q = F.when(F.col("genre") == F.col("other"), F.when(F.col("n") > 1, (F.col("s") - F.col("p")) / (F.col("n") - 1))).otherwise(F.col("s") / F.col("n"))
     d = l.withColumn("q", q).groupBy("work", F.col("genre").alias("own"), "other").agg(F.round(F.sum(jsd_term(F.col("p"), F.col("q"))), 9).alias("d"), F.count("q").alias("nq"), F.count("*").alias("n")).filter("nq = n")
     best = d.groupBy("work", "own").agg(F.min(F.struct("d", "other")).alias("m"), F.max(F.when(F.col("own") == F.col("other"), F.col("d"))).alias("o"))

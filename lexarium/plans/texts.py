@@ -26,10 +26,10 @@ def tokens_df(spark, sf):
     return w.groupBy("doc_id", "word").agg(F.count("*").alias("n")).groupBy("word").agg(F.sum("n").alias("n_tokens"), F.count("*").alias("n_docs"))
 
 
-@query(r"""SELECT doc_id, len(regexp_extract_all(text, '[^ \t\n\v\f\r]+')) AS n_space, len(regexp_extract_all(lower(text), '\b[a-z]+\b')) AS n_lower, len(regexp_extract_all(text, '[A-Za-z][A-Za-z''’]*')) AS n_apostrophe, len(regexp_extract_all(text, '\b[a-zA-Z]{2,}\b')) AS n_two FROM documents WHERE NOT regexp_matches(text, '[^\x00-\x7F]')""")
+@query(r"""SELECT doc_id, len(regexp_extract_all(text, '[^ \t\n\v\f\r]+')) AS n_space, len(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{Nd}_]+'), lambda w: regexp_full_match(w, '[a-z]+'))) AS n_lower, len(regexp_extract_all(text, '[A-Za-z][A-Za-z''’]*')) AS n_apostrophe, len(list_filter(regexp_extract_all(text, '[\p{L}\p{Nd}_]+'), lambda w: regexp_full_match(w, '[a-zA-Z]{2,}'))) AS n_two FROM documents""")
 def word_counts_by_pattern(spark, sf):
-    """The four word patterns side by side, on ASCII texts (elsewhere the dialects' word boundaries differ)."""
-    d = documents(spark, sf).filter(~F.col("text").rlike(r"[^\x00-\x7F]"))
+    """The four word patterns side by side; word boundaries know all letters."""
+    d = documents(spark, sf)
     return d.select("doc_id", *(F.size(X.words(F.col("text"), k)).cast("long").alias(f"n_{k}") for k in ("space", "lower", "apostrophe", "two")))
 
 
@@ -52,15 +52,15 @@ def class_tfidf_top(spark, sf):
     return topics.top_words(s, 10).select("topic", "word", "n", F.round("score", 7).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("""WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents WHERE lang = 'en'), f AS (SELECT word, count(*) AS df, row_number() OVER (ORDER BY count(*) DESC, word) AS k FROM w GROUP BY word), t AS (SELECT word, df FROM f WHERE k BETWEEN 21 AND 40),
+@query("""WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents), f AS (SELECT word, count(*) AS df, row_number() OVER (ORDER BY count(*) DESC, word) AS k FROM w GROUP BY word), t AS (SELECT word, df FROM f WHERE k BETWEEN 21 AND 40),
 n AS (SELECT count(DISTINCT doc_id) AS n FROM w), d AS (SELECT w.doc_id, w.word, df FROM w JOIN t ON w.word = t.word),
 p AS (SELECT a.word AS word_a, b.word AS word_b, count(*) AS n_both, max(a.df) AS da, max(b.df) AS db FROM d a JOIN d b ON a.doc_id = b.doc_id AND a.word < b.word GROUP BY 1, 2)
 SELECT word_a, word_b, n_both, round(ln((n_both / n) / ((da / n) * (db / n))) / -ln(n_both / n), 7) AS npmi FROM p CROSS JOIN n WHERE n_both < n""")
 def npmi_pairs(spark, sf):
     """How much twenty frequent words keep company in documents."""
-    w = documents(spark, sf).filter("lang = 'en'").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))).alias("word"))
+    w = documents(spark, sf).select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))).alias("word"))
     top = w.groupBy("word").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "word").limit(40).withColumn("k", F.row_number().over(W.orderBy(F.desc("df"), "word"))).filter("k > 20").drop("k")
-    n = documents(spark, sf).filter("lang = 'en'").filter(F.lower("text").rlike("[a-z]")).agg(F.countDistinct("doc_id").alias("n"))
+    n = documents(spark, sf).filter(F.lower("text").rlike("[a-z]")).agg(F.countDistinct("doc_id").alias("n"))
     # twenty words a document at most, so pairs are bounded by document
     held = w.join(F.broadcast(top), "word").groupBy("doc_id").agg(F.collect_list(F.struct("word", "df")).alias("h"))
     pairs = held.select(F.explode(F.expr("filter(flatten(transform(h, a -> transform(h, b -> struct(a.word AS word_a, b.word AS word_b, a.df AS da, b.df AS db)))), p -> p.word_a < p.word_b)")).alias("p")).select("p.*")
@@ -130,10 +130,10 @@ def sentence_counts(spark, sf):
     return documents(spark, sf).select("doc_id", X.sentence_ends(F.col("text")).cast("long").alias("n_ends"), F.length(X.collapse(F.col("text"))).cast("long").alias("n_collapsed"))
 
 
-@query(r"""SELECT doc_id, CASE WHEN length(text) <= 80 THEN text ELSE regexp_replace(substr(text, 1, 80), '\s\S*\z', '') END AS snippet, substr(text, 1, 160) AS head, right(text, 160) AS tail FROM documents WHERE lang = 'en'""")
+@query(r"""SELECT doc_id, CASE WHEN length(text) <= 80 THEN text ELSE regexp_replace(substr(text, 1, 80), '\s\S*\z', '') END AS snippet, substr(text, 1, 160) AS head, right(text, 160) AS tail FROM documents""")
 def snippets(spark, sf):
     """Beginnings cut at a word, and the first and last 160 characters."""
-    d = documents(spark, sf).filter("lang = 'en'")
+    d = documents(spark, sf)
     return d.select("doc_id", X.snippet(F.col("text"), 80).alias("snippet"), F.left("text", F.lit(160)).alias("head"), F.right("text", F.lit(160)).alias("tail"))
 
 
@@ -177,7 +177,7 @@ def token_emission(spark, sf):
 _NAMES = "m AS (SELECT list(DISTINCT lower(w)) AS names FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]{8,}')) AS w FROM benchmark))"
 
 
-@query(f"""WITH {_NAMES}, w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS i FROM documents WHERE lang = 'en'),
+@query(f"""WITH {_NAMES}, w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS i FROM documents),
 k AS (SELECT doc_id, i, w, regexp_replace(lower(w), '[^a-z]', '', 'g') IN (SELECT unnest(names) FROM m) AS hit FROM w)
 SELECT doc_id, sha1(string_agg(CASE WHEN hit THEN '[name]' ELSE w END, ' ' ORDER BY i)) AS sha1, count(*) FILTER (hit) AS n_masked FROM k GROUP BY doc_id""")
 def mask_dictionary(spark, sf):
@@ -186,18 +186,18 @@ def mask_dictionary(spark, sf):
     The dictionary is joined by key, so its size is free; words of a document meet again by its id.
     """
     names = table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{8,}"), F.lit(0))).alias("w")).select(F.lower("w").alias("key"), F.lit(True).alias("hit")).distinct()
-    w = documents(spark, sf).filter("lang = 'en'").select("doc_id", F.posexplode(F.split("text", " ")).alias("i", "w")).withColumn("key", F.regexp_replace(F.lower("w"), "[^a-z]", ""))
+    w = documents(spark, sf).select("doc_id", F.posexplode(F.split("text", " ")).alias("i", "w")).withColumn("key", F.regexp_replace(F.lower("w"), "[^a-z]", ""))
     k = w.join(names, "key", "left").select("doc_id", F.struct("i", F.when(F.col("hit"), "[name]").otherwise(F.col("w")).alias("w")).alias("x"), F.coalesce("hit", F.lit(False)).alias("hit"))
     g = k.groupBy("doc_id").agg(F.sort_array(F.collect_list("x")).alias("x"), F.count_if("hit").alias("n_masked"))
     return g.select("doc_id", F.sha1(F.array_join(F.transform("x", lambda t: t["w"]), " ").cast("binary")).alias("sha1"), "n_masked")
 
 
-@query("""SELECT doc_id, CASE WHEN a IS NULL THEN 'added' WHEN b IS NULL THEN 'removed' ELSE 'changed' END AS change FROM (SELECT coalesce(x.doc_id, y.doc_id) AS doc_id, x.h AS a, y.h AS b FROM (SELECT doc_id, sha1(text) AS h FROM documents WHERE doc_id % 7 <> 0) x FULL JOIN (SELECT doc_id, sha1(regexp_replace(text, '[#$%&*]', '', 'g')) AS h FROM documents WHERE doc_id % 11 <> 0) y ON x.doc_id = y.doc_id) WHERE a IS DISTINCT FROM b""")
+@query("""SELECT doc_id, CASE WHEN a IS NULL THEN 'added' WHEN b IS NULL THEN 'removed' ELSE 'changed' END AS change FROM (SELECT coalesce(x.doc_id, y.doc_id) AS doc_id, x.h AS a, y.h AS b FROM (SELECT doc_id, sha1(text) AS h FROM documents WHERE source <> 'src7') x FULL JOIN (SELECT doc_id, sha1(regexp_replace(text, '[#$%&*]', '', 'g')) AS h FROM documents WHERE source <> 'src11') y ON x.doc_id = y.doc_id) WHERE a IS DISTINCT FROM b""")
 def changed_rows(spark, sf):
-    """Rows to work on again: two versions compared by the hash of their text (version one lacks some rows, so does version two)."""
+    """Rows to work on again: two versions compared by the hash of their text (each version lacks a source of the other)."""
     d = documents(spark, sf)
-    x = d.filter("doc_id % 7 <> 0").select("doc_id", F.sha1(F.col("text").cast("binary")).alias("a"))
-    y = d.filter("doc_id % 11 <> 0").select("doc_id", F.sha1(F.regexp_replace("text", "[#$%&*]", "").cast("binary")).alias("b"))
+    x = d.filter("source <> 'src7'").select("doc_id", F.sha1(F.col("text").cast("binary")).alias("a"))
+    y = d.filter("source <> 'src11'").select("doc_id", F.sha1(F.regexp_replace("text", "[#$%&*]", "").cast("binary")).alias("b"))
     both = x.join(y, "doc_id", "full").filter(~F.col("a").eqNullSafe(F.col("b")))
     return both.select("doc_id", F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").otherwise("changed").alias("change"))
 
@@ -221,16 +221,16 @@ def html_units(spark, sf):
 def align_pairs(spark, sf):
     """Turns of conversations aligned with a copy in which some are altered or gone."""
     c = table(spark, sf, "conversations").select("conv_id", F.col("turn").alias("line_no"), F.col("text").alias("line"))
-    other = c.filter((F.col("conv_id") + F.col("line_no")) % 5 != 0).withColumn("line", F.when(F.col("line_no") % 3 == 0, F.regexp_replace("line", "th", "vv")).otherwise(F.col("line")))
+    other = table(spark, sf, "conversations").filter("role <> 'system'").select("conv_id", F.col("turn").alias("line_no"), F.col("text").alias("line")).withColumn("line", F.when(F.col("line_no") % 3 == 0, F.regexp_replace("line", "th", "vv")).otherwise(F.col("line")))
     return align.align_documents(c, other, "conv_id")
 
 
 @query()
 def title_assign(spark, sf):
     """Names of parts assigned one to one to perturbed names in small candidate sets."""
-    p = table(spark, sf, "part").select((F.floor(F.col("p_partkey") / 8)).cast("long").alias("k"), F.col("p_partkey").alias("id"), "p_name")
+    p = table(spark, sf, "part").select((F.floor(F.col("p_partkey") / 8)).cast("long").alias("k"), F.col("p_partkey").alias("id"), "p_name", "p_size")
     keyed = lambda d, c: d.select("k", "id", X.title_key(c, ["the"]).alias("tokens"), X.number_signature(c, {"first": 1}).alias("numbers"))
-    return align.assign(keyed(p, F.col("p_name")), keyed(p.filter("id % 5 <> 0"), F.regexp_replace("p_name", "e", "ee")), "k")
+    return align.assign(keyed(p, F.col("p_name")), keyed(p.filter("p_size > 10"), F.regexp_replace("p_name", "e", "ee")), "k")
 
 
 @query()
