@@ -8,6 +8,7 @@ lineage and survives lost executors; nothing is kept in executor storage.
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -57,6 +58,12 @@ def unstash(*frames: DataFrame) -> None:
         remove(df.sparkSession, df.stash_path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let the driver notice now that plans are done with; Spark's cleaner then deletes their shuffle files on all executors."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def remove(spark: SparkSession, folder: str) -> None:
     """Delete a folder through Spark's file systems."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
