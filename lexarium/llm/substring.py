@@ -161,8 +161,10 @@ def repeats(docs: DataFrame, length: int = 35, gram: int = 6) -> DataFrame:
     several = groups.groupBy("fp").agg(F.count("*").alias("kinds"), F.sum("n").alias("total")).filter("total > 1")
     # one row for each distinct territory of an anchor that occurs more than once
     shared = stash(groups.join(several, "fp").select("fp", "th", "n", "kinds", "rep.*"), "shared")
+    # whole territories are settled first, so that their table and shuffles are gone before windows are made
+    whole = stash(t.join(shared.filter("n > 1").select("fp", "th"), ["fp", "th"]).select("doc_id", "rk", "start", (F.col("start") + F.col("windows") + (length - 1)).alias("end")), "whole")
+    unstash(t)
     tidy(docs.sparkSession)
-    whole = t.join(shared.filter("n > 1").select("fp", "th"), ["fp", "th"]).select("doc_id", "rk", "start", (F.col("start") + F.col("windows") + (length - 1)).alias("end"))
     reps = shared.filter("kinds > 1").select("doc_id", "rk", "fp", "start", "windows", F.least(F.col("n"), F.lit(2)).cast("int").alias("copies"))
     single = stash(windows_of(docs, reps, length), "windows")
     tidy(docs.sparkSession)
@@ -170,7 +172,7 @@ def repeats(docs: DataFrame, length: int = 35, gram: int = 6) -> DataFrame:
     part = single.filter("copies = 1").join(met, ["fp", "wh"]).select("doc_id", "rk", "start", (F.col("start") + length).alias("end"))
     spans = whole.union(part).groupBy("doc_id", "rk").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     out = stash(spans, "spans")
-    unstash(t, shared, single)
+    unstash(shared, single, whole)
     tidy(docs.sparkSession)
     return out
 
