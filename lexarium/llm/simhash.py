@@ -16,7 +16,9 @@ contraction over written tables (see ``shared.components``).
 
 Cases: a null or blank text has fingerprint zero and links like any other; one
 or two words form a single shingle; repeated rows share a fingerprint and so a
-component; an empty table gives an empty table; further columns are ignored.
+component; rows without a doc_id link and bridge like any other, and a component
+without any doc_id has none as its id (doc_ids lie below 0x6000000000000000);
+an empty table gives an empty table; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from .shared import components, stash, text_bytes
 
 _EVEN = 0x5555555555555555
+#: Numbers from here on stand for rows without a doc_id; those that share one differ in three bits at most, so they link.
+_UNNAMED = 0x6000000000000000
 
 
 def fingerprint(text: bytes, width: int = 3) -> int:
@@ -120,9 +124,12 @@ def links(distinct: DataFrame, bits: int = 3) -> DataFrame:
 def near_groups(docs: DataFrame, bits: int = 3, width: int = 3) -> DataFrame:
     """(doc_id, fp, component_id) for each row of ``docs``."""
     fps = stash(fingerprints(docs, width), "fp")
-    distinct = stash(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    comps = components(links(distinct.filter("rep IS NOT NULL"), bits))
-    roots = distinct.join(comps, distinct.rep == comps.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
+    # fingerprints that only rows without a doc_id have link like others, under numbers beyond all doc_ids
+    unnamed = F.expr(f"shiftrightunsigned(fp, 3) | {_UNNAMED}")
+    distinct = stash(fps.groupBy("fp").agg(F.coalesce(F.min("doc_id"), unnamed).alias("rep")), "distinct")
+    comps = components(links(distinct, bits))
+    root = F.coalesce("root", "rep")
+    roots = distinct.join(comps, distinct.rep == comps.node, "left").select("fp", F.when(root < _UNNAMED, root).alias("component_id"))
     return fps.join(roots, "fp").select("doc_id", "fp", "component_id")
 
 
