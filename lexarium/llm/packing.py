@@ -9,6 +9,8 @@ replaced by the two unpacked pieces that fill the expanded gap most tightly, if
 they fill more than the piece did.
 
 Tokens never move: only doc_id, piece, start, length and a checksum are dealt.
+The number of a row in its task is part of the hash, so that repeated rows
+spread over the shards; written pieces keep it when a task runs again.
 
 Cases: a null or blank text is the closing id alone; repeated rows are packed
 each on their own; an empty table gives an empty one; further columns are
@@ -89,17 +91,18 @@ def best_two_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:
 
 
 def pieces(docs: DataFrame, capacity: int = 2048, path: str | None = None, with_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 (and ids) of each row's whole text and its closing id 0."""
+    """doc_id, piece, start, length, ids_crc32, nth (the row's number in its task) and, if wanted, ids of each row's whole text and its closing id 0."""
     source = docs.sparkSession.sparkContext.broadcast(source_of(path))  # a vocabulary file: a few MB, whatever the corpus
 
     def run(batches):
-        enc = Tokens.of(source.value)
+        enc, row = Tokens.of(source.value), 0
         for b in batches:
-            doc, piece, start, length, crc, parts = [], [], [], [], [], []
+            doc, piece, start, length, crc, nth, parts = [], [], [], [], [], [], []
             for d, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 ids = np.append(enc.ids(text or ""), np.uint32(0)).astype("<u4")
                 n = len(ids)
                 at = 0
+                row += 1
                 for k in range(-(-n // capacity)):
                     end = n - capacity * (-(-n // capacity) - 1 - k)
                     doc.append(d)
@@ -107,22 +110,23 @@ def pieces(docs: DataFrame, capacity: int = 2048, path: str | None = None, with_
                     start.append(at)
                     length.append(end - at)
                     crc.append(zlib.crc32(ids[at:end].tobytes()))
+                    nth.append(row)
                     if with_ids:
                         parts.append(ids[at:end].astype(np.int32))
                     at = end
-            cols = [pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+            cols = [pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(nth, pa.int64())]
+            names = ["doc_id", "piece", "start", "length", "ids_crc32", "nth"]
             if with_ids:
                 cols.append(pa.array(parts, pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, nth long" + ", ids array<int>" * with_ids
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
 def pack(parts: DataFrame, capacity: int = 2048, shard_rows: int = 16384) -> DataFrame:
-    """Add sequence_id and offset to pieces (doc_id, piece, start, length, ids_crc32)."""
+    """Add sequence_id and offset to pieces (doc_id, piece, start, length, ids_crc32, nth)."""
     shards = max(1, -(-parts.count() // shard_rows))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
@@ -133,7 +137,7 @@ def pack(parts: DataFrame, capacity: int = 2048, shard_rows: int = 16384) -> Dat
         p["offset"] = p.groupby("sequence_id")["length"].cumsum() - p["length"]
         return p
 
-    shard = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)).alias("shard")
+    shard = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "nth"), F.lit(shards)).alias("shard")
     return parts.select("doc_id", "piece", "start", "length", "ids_crc32", shard).groupBy("shard").applyInPandas(run, schema)
 
 
