@@ -17,7 +17,7 @@ third of all documents share costs rows in proportion to its copies.
 Cases: a null or blank text has no words and stays empty; shorter texts have no
 window; repeated rows repeat each other's windows; empty tables give empty
 tables; further columns are ignored.  Rows are told apart by doc_id and a key of
-doc_id and text; equal rows get the same (full) verdict.
+doc_id and text; equal rows get the same (full) verdict, gathered once.
 """
 
 from __future__ import annotations
@@ -170,7 +170,7 @@ def repeats(docs: DataFrame, length: int = 35, gram: int = 6) -> DataFrame:
     tidy(docs.sparkSession)
     met = single.groupBy("fp", "wh").agg(F.sum("copies").alias("c")).filter("c > 1").select("fp", "wh")
     part = single.filter("copies = 1").join(met, ["fp", "wh"]).select("doc_id", "rk", "start", (F.col("start") + length).alias("end"))
-    spans = whole.union(part).groupBy("doc_id", "rk").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans = whole.union(part).groupBy("doc_id", "rk").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     out = stash(spans, "spans")
     unstash(shared, single, whole)
     tidy(docs.sparkSession)
