@@ -17,7 +17,7 @@ passes exact messages across the cuts, so the result is that of one chain.
 
 Cases: texts that are null or have no letter give ``und`` with score 0; so does
 every text if no document has a language to learn; ties go to the first
-language in order; repeated rows are labelled alike; an empty table gives an
+language in order; repeated rows are labelled alike and learned once; an empty table gives an
 empty one; further columns are ignored.
 """
 
@@ -36,7 +36,9 @@ SEGMENT = 512
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORDS.findall(text.lower()) if text else []
+    """The words of a text; none if it holds but signs such as ½ that count as word characters without being letters."""
+    words = _WORDS.findall(text.lower()) if text else []
+    return words if any(c.isalpha() for w in words for c in w) else []
 
 
 def ngrams(words: list[str], bits: int, longest: int = 4) -> tuple[np.ndarray, np.ndarray]:
@@ -259,7 +261,7 @@ def training_sample(docs: DataFrame, per_lang: int = 400, max_langs: int = 64) -
     if not counts:
         return []
     share = F.coalesce(*(F.when(F.col("lang") == c["lang"], F.lit(int((1 << 30) * min(1.0, per_lang / c["count"])))) for c in counts), F.lit(0))
-    picked = learn.filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < share).select("doc_id", "lang", "text").collect()
+    picked = learn.filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < share).select("lang", "text", "doc_id").distinct().collect()
     return [(r["lang"], words_of(r["text"])) for r in sorted(picked, key=lambda r: (str(r["doc_id"]), r["lang"], r["text"] or ""))]
 
 

@@ -12,7 +12,7 @@ it alone scores texts.
 
 Cases: null, blank or letterless texts get the score of no evidence (the
 intercept's); without a toxic or a clean labelled row every score is 0; repeated
-rows score alike; an empty table gives an empty one; further columns are
+rows score alike and are learned once; an empty table gives an empty one; further columns are
 ignored.  Bounds: ``per_class`` sampled documents of each class, ``max_voters``
 voters, ``max_features`` features, both without patterns that fire on nearly the
 same sampled documents as a stronger one.
@@ -234,7 +234,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -
         share = F.when(F.col("toxic") == y, F.lit(int((1 << 30) * min(1.0, per_class * (1 if y else 2) / n)))).otherwise(share)
     picked = marks.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < share)
     # the chosen rows are bounded by per_class, so they can be sent to the texts
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic").collect()
+    rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic").distinct().collect()
     found = [(r["text"], r["toxic"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["toxic"], r["text"] or ""))]
     return found, counts[1] / counts[0] if counts.get(0) and counts.get(1) else None
 
