@@ -212,10 +212,10 @@ def calibrate(forests: Forests, labelled: DataFrame, precision: float, max_clean
 
 
 def fit(stats: DataFrame, labels: DataFrame, sample_rows: int = 8192, precision: float = 0.95, max_clean_loss: float = 0.001) -> Forests:
-    """Forests grown on at most about ``sample_rows`` documents that pass the base rules, calibrated on all labelled ones."""
+    """Forests grown on about ``sample_rows`` documents (twice as many at most) that pass the base rules, calibrated on all labelled ones."""
     passing = stats.filter(~base_failed())
     cols = [x.split()[0] for x in STATS.split(", ")]
-    sample = sample_by_hash(passing, F.col("doc_id"), passing.count(), sample_rows).select(*cols).toPandas()
+    sample = sample_by_hash(passing, F.coalesce(F.col("doc_id"), F.xxhash64(*cols)), passing.count(), sample_rows).select(*cols).toPandas()
     sample = sample.sort_values(cols).to_numpy()
     marks = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "quality")
     return calibrate(fit_forests(sample), passing.join(marks, "doc_id"), precision, max_clean_loss)

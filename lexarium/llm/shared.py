@@ -81,10 +81,14 @@ def row_key(*names: str) -> Column:
 
 
 def sample_by_hash(df: DataFrame, key: Column, count: int, limit: int) -> DataFrame:
-    """About ``limit`` of ``count`` rows, the same ones on each run."""
+    """About ``limit`` of ``count`` rows, the same ones on each run.
+
+    Rows of one key are drawn together; if those are many, twice ``limit`` rows are the most.
+    """
     if count <= limit:
         return df
-    return df.filter(F.pmod(F.xxhash64(key, F.lit(17)), F.lit(1 << 30)) < int((1 << 30) * limit / count))
+    draw = F.pmod(F.xxhash64(key, F.lit(17)), F.lit(1 << 30))
+    return df.filter(draw < int((1 << 30) * limit / count)).orderBy(draw, *df.columns).limit(2 * limit)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
