@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from lexarium.llm import langid, lines, mixing, packing, quality, separators, simhash, substring, tokens, topk, toxicity
-from lexarium.llm.shared import components
+from lexarium.llm.shared import components, sample_by_hash
 
 DATA = "/root/testdata"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -113,6 +113,9 @@ def test_language_accuracy_and_odd_rows(spark, odd, empty):
     assert all(0 <= r.score <= 1 for r in rows)
     assert langid.identify(empty).count() == 0
     assert {r.lang_pred for r in langid.identify(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+    assert langid.words_of("½ ² ③") == [] and langid.words_of("½ a") == ["½", "a"]
+    learned = langid.training_sample(odd.union(odd))
+    assert learned == langid.training_sample(odd) and [words for _, words in learned].count(langid.words_of(LONG)) <= 2
 
 
 # 2 toxicity
@@ -195,6 +198,14 @@ def test_rule_statistics(spark, odd):
         assert quality.rule_stats((t or "").encode()) == brute_stats(t)
 
 
+def test_samples_are_bounded(spark):
+    rows = spark.range(4000).selectExpr("id", "7 AS key")  # one key: all or none are drawn
+    assert sample_by_hash(rows, F.col("key"), 4000, 3999).count() in (0, 4000)
+    assert all(sample_by_hash(rows.withColumn("key", F.lit(k)), F.col("key"), 4000, 1000).count() in (0, 2000) for k in range(12))
+    got = sample_by_hash(rows, F.col("id"), 4000, 500)
+    assert 400 < got.count() < 600 and got.collect() == got.collect()
+
+
 def test_isolation_paths():
     rng = np.random.default_rng(3)
     stats = np.column_stack([rng.integers(100, 400, 2000), np.zeros(2000), np.zeros(2000), np.zeros(2000), np.zeros(2000)])
@@ -292,6 +303,9 @@ def test_substring_dedup_odd_rows(spark, odd, empty):
     assert by[6].n_removed == by[7].n_removed == 30_000 and by[1].n_words == 0
     assert by[1].kept_sha256 == by[6].kept_sha256 == substring.sha256_of([])
     assert substring.remove_repeats(empty).count() == 0
+    slim = odd.select("doc_id", F.lit(1).cast("long").alias("rk"), F.col("text").cast("binary").alias("text"))
+    once, often = (substring.repeats(x.filter("doc_id IN (6, 7)")) for x in (slim, slim.union(slim).union(slim)))
+    assert sorted(map(str, once.selectExpr("doc_id", "array_sort(spans) AS s").collect())) == sorted(map(str, often.selectExpr("doc_id", "array_sort(spans) AS s").collect()))
 
 
 # 7 SimHash
@@ -369,6 +383,14 @@ def test_near_groups_of_documents(spark, odd, empty):
     assert simhash.near_groups(empty).count() == 0 and simhash.one_per_group(empty).count() == 0
 
 
+def test_rows_without_id_bridge(spark, monkeypatch):
+    fps = {1: 0b0, None: 0b111, 2: 0b111111, 9: 2**63 + 2**40 * 0b1111, 10: 2**20 * 0b1111111}
+    rows = [(d, x - (1 << 64) if x >> 63 else x) for d, x in fps.items()] + [(None, 2**50 * 0b11111), (None, 2**50 * 0b11111 + 1)]
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, width: docs)
+    got = [(r.doc_id, r.component_id) for r in simhash.near_groups(spark.createDataFrame(rows, "doc_id long, fp long")).collect()]
+    assert Counter(got) == Counter({(1, 1): 1, (None, 1): 1, (2, 1): 1, (9, 9): 1, (10, 10): 1, (None, None): 2})
+
+
 # 8 packing
 
 
@@ -415,6 +437,13 @@ def test_packing(spark, odd, empty):
     assert packing.pack_documents(empty).count() == 0
 
 
+def test_repeated_rows_spread_over_shards(spark):
+    same = spark.range(2000, numPartitions=4).selectExpr("CAST(NULL AS LONG) AS doc_id", "'one two three' AS text")
+    rows = packing.pack(packing.pieces(same), shard_rows=250).collect()
+    assert check_packing(rows, [(None, "one two three")] * 2000, 2048, tokens.Tokens(tokens.source_of()))[1] == sum(r.length for r in rows)
+    assert max(Counter(r.sequence_id >> 32 for r in rows).values()) < 500
+
+
 # 9 top k
 
 
