@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexarium.deploy import shipped
-from lexarium.llm import lines, mixing, packing, quality, simhash
+from lexarium.llm import lines, mixing, near, packing, quality
 from lexarium.llm.shared import shared_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -28,8 +28,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest doc_id."""
-    return simhash.one_per_group(docs.select(COLUMNS))
+    """One document of each group of near copies (five-word shingles, Jaccard 0.8 or more) stays, the one with the smallest doc_id."""
+    return near.one_per_group(docs.select(COLUMNS))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
