@@ -22,8 +22,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeated runs of lines go; n_chars follows the text."""
-    out = lines.dedup_lines(docs.select(COLUMNS))
+    """Later repeated runs of three lines or 50 words go; n_chars follows the text."""
+    out = lines.dedup_lines(docs.select(COLUMNS), words=50)
     return out.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 

@@ -8,7 +8,8 @@ dropped; those that meet are extended to all the windows around them that they
 stand for, and windows of equal contents form matches.  The first one by
 (doc_id, key of the row, position) stays, each later one is deleted; overlapping
 windows unite, so a repeated run of any length from ``window`` lines up goes as
-a whole.
+a whole.  With ``words``, shorter runs go as well if they hold that many words:
+each of their windows is then its own fingerprint.
 
 Groups are counted and joined back, never paired or gathered.
 
@@ -21,17 +22,17 @@ are kept as they are, but for those named like an added one.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .shared import row_key, stash, unstash
+from .shared import WORD, row_key, stash, unstash
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, rk, hs (hashes of lines with a word) and ix (their places among all lines)."""
+def _lines(docs: DataFrame, counted: bool = False) -> DataFrame:
+    """doc_id, rk, hs (hashes of lines with a word) and ix (their places among all lines); ws (their numbers of words) if ``counted``."""
     split = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
-    numbered = docs.select("doc_id", "rk", F.transform(split, lambda x, i: F.struct(F.xxhash64(x).alias("h"), i.alias("i"), x.rlike(r"[^\x20\x09-\x0D]").alias("w"))).alias("a"))
-    held = numbered.withColumn("a", F.filter("a", lambda x: x["w"]))
-    return held.select("doc_id", "rk", F.col("a.h").alias("hs"), F.col("a.i").alias("ix"))
+    numbered = docs.select("doc_id", "rk", F.transform(split, lambda x, i: F.struct(F.xxhash64(x).alias("h"), i.alias("i"), (F.regexp_count(x, F.lit(WORD)) if counted else x.rlike(r"[^\x20\x09-\x0D]")).alias("w"))).alias("a"))
+    held = numbered.withColumn("a", F.filter("a", lambda x: x["w"] > 0 if counted else x["w"]))
+    return held.select("doc_id", "rk", F.col("a.h").alias("hs"), F.col("a.i").alias("ix"), *([F.col("a.w").alias("ws")] if counted else []))
 
 
 def _windows(docs: DataFrame, window: int) -> DataFrame:
@@ -47,29 +48,53 @@ def _windows(docs: DataFrame, window: int) -> DataFrame:
     return held.select("doc_id", "rk", F.explode(F.transform(starts, one)).alias("w")).select("doc_id", "rk", "w.*")
 
 
-def later_runs(docs: DataFrame, window: int = 3) -> DataFrame:
-    """Windows of lines that repeat an earlier one: doc_id, rk, start, end.
+def _wordy(docs: DataFrame, window: int, words: int) -> DataFrame:
+    """Like ``_windows``, those of fewer than ``window`` lines that hold ``words`` words or more."""
+    held = _lines(docs, True)
 
-    ``docs`` has doc_id, rk and text; repeated rows are counted once.
+    def some(lines):
+        def one(i):
+            wh = F.xxhash64(F.slice("hs", i + 1, F.lit(lines)))
+            return F.struct(wh.alias("fp"), i.alias("at"), wh.alias("wh"), F.element_at("ix", i + 1).alias("start"), (F.element_at("ix", i + lines) + 1).alias("end"))
+
+        enough = lambda i: F.aggregate(F.slice("ws", i + 1, F.lit(lines)), F.lit(0), lambda a, x: a + x) >= words
+        # zero to size - lines; none where the text has fewer lines
+        starts = F.slice(F.sequence(F.lit(0), F.size("hs")), 1, F.greatest(F.size("hs") - lines + 1, F.lit(0)))
+        return F.transform(F.filter(starts, enough), one)
+
+    return held.select("doc_id", "rk", F.explode(F.concat(*map(some, range(1, window)))).alias("w")).select("doc_id", "rk", "w.*")
+
+
+def later_runs(docs: DataFrame, window: int = 3, words: int | None = None) -> DataFrame:
+    """Windows of lines that repeat an earlier one: doc_id, rk, start, end (starts and ends of a row rise together).
+
+    ``docs`` has doc_id, rk and text; repeated rows are counted once.  Windows have
+    ``window`` lines, or fewer that hold ``words`` words or more.
     """
-    rows = stash(_windows(docs, window).distinct(), "line-windows")
+    every = _windows(docs, window)
+    if words is not None and window > 1:
+        every = every.union(_wordy(docs, window, words))
+    rows = stash(every.distinct(), "line-windows")
     # fingerprints that occur at more than one place
     places = rows.select("fp", "doc_id", "rk", "at").distinct().groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1").select("fp")
     met = stash(rows.join(places, "fp").select("fp", "wh", "doc_id", "rk", "start", "end"), "line-matches")
     first = met.groupBy("fp", "wh").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "rk", "start")).alias("first")).filter("n > 1").select("fp", "wh", "first")
     later = met.join(first, ["fp", "wh"]).filter(~F.struct("doc_id", "rk", "start").eqNullSafe(F.col("first"))).select("doc_id", "rk", "start", "end")
+    if words is not None:
+        # a short window inside a longer one ends where that does
+        later = later.withColumn("end", F.max("end").over(W.partitionBy("doc_id", "rk").orderBy("start"))).distinct()
     out = stash(later, "line-runs")
     unstash(rows, met)
     return out
 
 
-def dedup_lines(docs: DataFrame, window: int = 3) -> DataFrame:
-    """``docs`` with later repeated runs of lines cut from text.
+def dedup_lines(docs: DataFrame, window: int = 3, words: int | None = None) -> DataFrame:
+    """``docs`` with later repeated runs of lines cut from text: ``window`` lines or more, or ``words`` words or more.
 
     Adds n_lines (lines with a word), n_removed (those deleted) and kept_text.
     """
     keyed = docs.withColumn("_lx_key", row_key("doc_id", "text"))
-    runs = later_runs(keyed.select("doc_id", F.col("_lx_key").alias("rk"), "text"), window)
+    runs = later_runs(keyed.select("doc_id", F.col("_lx_key").alias("rk"), "text"), window, words)
     spans = runs.groupBy(F.col("doc_id").alias("_lx_d"), F.col("rk").alias("_lx_r")).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_lx_s"))
     joined = keyed.join(spans, F.col("doc_id").eqNullSafe(F.col("_lx_d")) & (F.col("_lx_key") == F.col("_lx_r")), "left")
     lines = F.split(F.col("text"), "\n", -1)
