@@ -63,3 +63,10 @@ def test_near_copies_of_odd_rows(spark):
     got = near.one_per_group(spark.createDataFrame(ODD, SCHEMA))
     assert got.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert sorted(r.doc_id or 0 for r in got.collect()) == [0, 1, 4, 5, 6, 8, 9]
+
+
+def test_rows_are_told_apart_by_text(spark):
+    first, second, third = (" ".join(f"{c}{i}" for i in range(30)) for c in "abc")
+    rows = [(1, first), (1, second), (1, second), (2, second), (None, first), (None, third), (None, third), (None, third + " x")]
+    got = near.one_per_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text[:2]) for r in got) == [(0, "c0"), (1, "a0"), (1, "b0")]
