@@ -16,8 +16,8 @@ to batch.  The k best of each task and query are merged by one window per query.
 Equal vectors of a batch share a leaf entry that keeps its k + 1 smallest ids,
 which is all that a top k (without the query itself) can use; nothing is lost.
 
-Cases: vectors that are null, hold null or non-finite components, or differ in
-length from the first block of queries take no part; repeated ids compete as
+Cases: vectors that are null or hold null or non-finite components take no part;
+those of each length are searched by themselves; repeated ids compete as
 rows of their own; ties go to the smaller id; fewer than k candidates give
 fewer rows; an empty table gives an empty one; further columns are ignored.
 Scores are exact while they fit 63 bits.
@@ -165,32 +165,31 @@ def quantised(vectors: DataFrame, ident: str = "vec_id", column: str = "embeddin
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, query_block: int = 16384) -> DataFrame:
-    """query_id, rank, vec_id, score of the k best of ``vectors`` for each of ``queries`` (both vec_id, v)."""
+    """query_id, rank, vec_id, score of the k best of ``vectors`` for each of ``queries`` (both vec_id, v).
+
+    Vectors of each length are searched by themselves.
+    """
     spark = vectors.sparkSession
-    n = queries.count()
-    blocks = max(1, -(-n // query_block))
+    counts = {r.dim: r.n for r in queries.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).collect()} or {0: 0}
     out = None
-    for block in range(blocks):
+    for dim, block, blocks in ((d, b, max(1, -(-n // query_block))) for d, n in sorted(counts.items()) for b in range(max(1, -(-n // query_block)))):
         # one block: about query_block rows, whatever the corpus
-        part = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).toPandas().sort_values("vec_id")
+        part = queries.filter((F.size("v") == dim) & (F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block)).toPandas().sort_values("vec_id")
         if part.empty and out is not None:
             continue
-        dim = len(part["v"].iloc[0]) if len(part) else 0
-        part = part[part["v"].map(len) == dim]
         x = np.array(part["v"].tolist(), np.int64).reshape(len(part), dim)
         sent = spark.sparkContext.broadcast(QueryBlock(part["vec_id"].to_numpy(np.int64), x))
 
-        def run(batches, sent=sent, dim=dim):
+        def run(batches, sent=sent):
             q = sent.value
             best = Best(len(q.ids), k)
             for p in batches:
-                p = p[p["v"].map(len) == dim]
                 if len(p) and len(q.ids):
                     search_batch(q, best, p["vec_id"].to_numpy(np.int64), np.stack(p["v"].to_numpy()).astype(np.int64))
             row, col = np.nonzero(best.ident != np.iinfo(np.int64).max)
             yield pd.DataFrame({"query_id": q.ids[row], "vec_id": best.ident[row, col], "score": best.score[row, col]})
 
-        found = vectors.mapInPandas(run, "query_id long, vec_id long, score long")
+        found = vectors.filter(F.size("v") == dim).mapInPandas(run, "query_id long, vec_id long, score long")
         out = found if out is None else out.union(found)
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
