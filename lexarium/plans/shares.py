@@ -280,13 +280,13 @@ def bootstrap_jsd(spark, sf):
 
         a, b = x[own], x[~own]
         seen = jsd(a, b)
-        boot = [jsd(a[rng.integers(len(a), size=len(a))], b[rng.integers(len(b), size=len(b))]) for _ in range(200)]
+        boot = [jsd(a[rng.integers(len(a), size=len(a))], b[rng.integers(len(b), size=len(b))]) for _ in range(1000)]
         null = []
-        for _ in range(200):
+        for _ in range(1000):
             o = rng.permutation(own)
             null.append(jsd(x[o], x[~o]))
-        draws = [jsd(b[rng.choice(len(b), min(len(a), len(b)), replace=False)], b) for _ in range(200)]
-        return pd.DataFrame({"genre": [p["target"].iloc[0]], "jsd": [seen], "low": [np.quantile(boot, 0.025)], "high": [np.quantile(boot, 0.975)], "p": [(np.sum(np.array(null) >= seen) + 1) / 201], "percentile": [100 * np.mean(np.array(draws) <= seen)]})
+        draws = [jsd(b[rng.choice(len(b), min(len(a), len(b)), replace=False)], b) for _ in range(300)]
+        return pd.DataFrame({"genre": [p["target"].iloc[0]], "jsd": [seen], "low": [np.quantile(boot, 0.025)], "high": [np.quantile(boot, 0.975)], "p": [(np.sum(np.array(null) >= seen) + 1) / 1001], "percentile": [100 * np.mean(np.array(draws) <= seen)]})
 
     return S.resampled(tagged, "target", run, "genre string, jsd double, low double, high double, p double, percentile double")
 
