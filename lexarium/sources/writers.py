@@ -55,7 +55,9 @@ def commit(spark: SparkSession, df: DataFrame, path: str) -> int:
 
 
 def markdown(title: str, small: DataFrame) -> str:
-    """A report table of a small frame (it is collected: reviewed dimensions, not data)."""
-    rows = small.limit(1000).collect()
+    """A report table of a small frame (it is collected: reviewed dimensions, not data); one of over 1,000 rows is an error."""
+    rows = small.limit(1001).collect()
+    if len(rows) > 1000:
+        raise ValueError(f"the table {title!r} has more than 1,000 rows")
     head = "| " + " | ".join(small.columns) + " |\n|" + "---|" * len(small.columns)
     return "\n".join([f"## {title}", "", head, *("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows), ""])
