@@ -3,18 +3,26 @@
 The lines of a document that hold a word are hashed.  In every window of
 ``window`` such lines the least hash (leftmost on ties) is the window's
 fingerprint, so runs of ``window`` lines that occur twice are sure to share a
-fingerprint at the same place.  Positions whose fingerprint occurs once are
-dropped; those that meet are extended to all the windows around them that they
-stand for, and windows of equal contents form matches.  The first one by
-(doc_id, key of the row, position) stays, each later one is deleted; overlapping
-windows unite, so a repeated run of any length from ``window`` lines up goes as
-a whole.  With ``words``, shorter runs go as well if they hold that many words:
+fingerprint at the same place.  Only these selected places are written, one row
+each, with the windows that they stand for: those around them, up to ``window`` - 1 lines
+both ways.  Places whose fingerprint occurs once are dropped.  Those that meet
+are extended both ways at once: places whose surroundings are alike match as a
+whole, and the first place of each kind is compared with the other kinds window by window.
+The first match by (doc_id, key of the row, position) stays, each later one is
+deleted; matches that overlap unite, so a repeated run of any length from
+``window`` lines up goes as a whole.  With ``words``, shorter runs go as well if they hold that many words:
 each of their windows is then its own fingerprint.
 
-Groups are counted and joined back, never paired or gathered.
+Groups are counted and joined back, never paired or gathered; a key that many
+rows share is not moved (``shared.join_counted``).
+
+Lines are compared by hashes: windows count as equal if their least lines have
+one XXH64 and all their lines one XXH64 of another seed.  Different windows around
+the same line pass with chance 2^-64 a pair, others with 2^-128.
 
 Cases: null or blank texts have no lines; texts of fewer lines are kept; blank
-lines stay unless they lie inside a deleted run; in repeated rows that agree in
+lines stay unless they lie inside a deleted run; very long texts are taken whole (a
+row holds a text's line hashes); of equal runs the first in order stays, so ties can't arise; in repeated rows that agree in
 doc_id and text the copies count as one row and are all cut alike;
 a null doc_id sorts first; an empty table gives an empty one; further columns
 are kept as they are, but for those named like an added one.
@@ -22,47 +30,68 @@ are kept as they are, but for those named like an added one.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .shared import WORD, row_key, stash, unstash
+from .shared import WORD, join_counted, row_key, stash, unstash
 
 
-def _lines(docs: DataFrame, counted: bool = False) -> DataFrame:
-    """doc_id, rk, hs (hashes of lines with a word) and ix (their places among all lines); ws (their numbers of words) if ``counted``."""
+def _lines(docs: DataFrame, counted: bool) -> DataFrame:
+    """doc_id, rk, hs and gs (two hashes of each line with a word) and ix (their places among all lines); ws (their numbers of words) if ``counted``."""
     split = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
-    numbered = docs.select("doc_id", "rk", F.transform(split, lambda x, i: F.struct(F.xxhash64(x).alias("h"), i.alias("i"), (F.regexp_count(x, F.lit(WORD)) if counted else x.rlike(r"[^\x20\x09-\x0D]")).alias("w"))).alias("a"))
-    held = numbered.withColumn("a", F.filter("a", lambda x: x["w"] > 0 if counted else x["w"]))
-    return held.select("doc_id", "rk", F.col("a.h").alias("hs"), F.col("a.i").alias("ix"), *([F.col("a.w").alias("ws")] if counted else []))
+    words = lambda x: F.regexp_count(x, F.lit(WORD)) if counted else x.rlike(r"[^\x20\x09-\x0D]")
+    numbered = F.transform(split, lambda x, i: F.struct(F.xxhash64(x).alias("h"), F.xxhash64(F.lit(1), x).alias("g"), i.alias("i"), words(x).alias("w")))
+    held = F.filter(numbered, lambda x: x["w"] > 0 if counted else x["w"])
+    rows = docs.select("doc_id", "rk", held.alias("a"))
+    return rows.select("doc_id", "rk", F.col("a.h").alias("hs"), F.col("a.g").alias("gs"), F.col("a.i").alias("ix"), *([F.col("a.w").alias("ws")] if counted else []))
+
+
+def _window(i: Column, lines: int) -> Column:
+    """The window of ``lines`` lines from the line ``i``: hash, first place and the place after the last among all lines."""
+    return F.struct(F.xxhash64(F.slice("gs", i + 1, F.lit(lines))).alias("wh"), F.get("ix", i).alias("start"), (F.get("ix", i + lines - 1) + 1).alias("end"))
 
 
-def _windows(docs: DataFrame, window: int) -> DataFrame:
-    """Each window of lines: doc_id, rk, fp and its place, start and end among all lines, wh."""
-    held = _lines(docs).filter(F.size("hs") >= window)
+def _selected(window: int) -> tuple[Column, Column]:
+    """The place of each window's least line, and (over those, as ``mins``) the selected places: fp, th (hash of the surroundings) and the windows that each stands for."""
     starts = F.sequence(F.lit(0), F.size("hs") - window)
 
-    def one(i):
+    def minimum(i):
         part = F.slice("hs", i + 1, F.lit(window))
-        fp = F.array_min(part)
-        return F.struct(fp.alias("fp"), (i + F.array_position(part, fp).cast("int") - 1).alias("at"), F.xxhash64(part).alias("wh"), F.element_at("ix", i + 1).alias("start"), (F.element_at("ix", i + window) + 1).alias("end"))
+        return i + F.array_position(part, F.array_min(part)).cast("int") - 1
 
-    return held.select("doc_id", "rk", F.explode(F.transform(starts, one)).alias("w")).select("doc_id", "rk", "w.*")
+    def place(p):
+        mine = F.filter(F.sequence(F.greatest(p - (window - 1), F.lit(0)), F.least(p, F.size("hs") - window)), lambda i: F.get("mins", i) == p)
+        first = F.get(mine, F.lit(0))
+        th = F.xxhash64(p - first, F.slice("gs", first + 1, F.size(mine) + (window - 1)))
+        return F.struct(F.get("hs", p).alias("fp"), th.alias("th"), F.transform(mine, lambda i: _window(i, window)).alias("ws"))
 
+    return F.transform(starts, minimum), F.transform(F.array_distinct("mins"), place)
 
-def _wordy(docs: DataFrame, window: int, words: int) -> DataFrame:
-    """Like ``_windows``, those of fewer than ``window`` lines that hold ``words`` words or more."""
-    held = _lines(docs, True)
+
+def _wordy(window: int, words: int) -> Column:
+    """Windows of fewer than ``window`` lines that hold ``words`` words or more, as selected places."""
 
     def some(lines):
         def one(i):
-            wh = F.xxhash64(F.slice("hs", i + 1, F.lit(lines)))
-            return F.struct(wh.alias("fp"), i.alias("at"), wh.alias("wh"), F.element_at("ix", i + 1).alias("start"), (F.element_at("ix", i + lines) + 1).alias("end"))
+            w = _window(i, lines)
+            return F.struct(F.xxhash64(F.lit(lines), F.slice("hs", i + 1, F.lit(lines))).alias("fp"), w["wh"].alias("th"), F.array(w).alias("ws"))
 
         enough = lambda i: F.aggregate(F.slice("ws", i + 1, F.lit(lines)), F.lit(0), lambda a, x: a + x) >= words
         # zero to size - lines; none where the text has fewer lines
         starts = F.slice(F.sequence(F.lit(0), F.size("hs")), 1, F.greatest(F.size("hs") - lines + 1, F.lit(0)))
         return F.transform(F.filter(starts, enough), one)
 
-    return held.select("doc_id", "rk", F.explode(F.concat(*map(some, range(1, window)))).alias("w")).select("doc_id", "rk", "w.*")
+    return F.concat(*map(some, range(1, window)))
+
+
+def places(docs: DataFrame, window: int, words: int | None = None) -> DataFrame:
+    """One row for each selected place of the texts: doc_id, rk, fp, th, ws (its windows)."""
+    short = words is not None and window > 1
+    held = _lines(docs, short)
+    mins, chosen = _selected(window)
+    long = F.size("hs") >= window
+    held = held.withColumn("mins", F.when(long, mins).otherwise(F.array().cast("array<int>")))
+    every = F.concat(chosen, _wordy(window, words)) if short else chosen
+    return held.select("doc_id", "rk", F.explode(every).alias("p")).select("doc_id", "rk", "p.*")
 
 
 def later_runs(docs: DataFrame, window: int = 3, words: int | None = None) -> DataFrame:
@@ -71,20 +100,26 @@ def later_runs(docs: DataFrame, window: int = 3, words: int | None = None) -> Da
     ``docs`` has doc_id, rk and text; repeated rows are counted once.  Windows have
     ``window`` lines, or fewer that hold ``words`` words or more.
     """
-    every = _windows(docs, window)
-    if words is not None and window > 1:
-        every = every.union(_wordy(docs, window, words))
-    rows = stash(every.distinct(), "line-windows")
-    # fingerprints that occur at more than one place
-    places = rows.select("fp", "doc_id", "rk", "at").distinct().groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1").select("fp")
-    met = stash(rows.join(places, "fp").select("fp", "wh", "doc_id", "rk", "start", "end"), "line-matches")
-    first = met.groupBy("fp", "wh").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "rk", "start")).alias("first")).filter("n > 1").select("fp", "wh", "first")
-    later = met.join(first, ["fp", "wh"]).filter(~F.struct("doc_id", "rk", "start").eqNullSafe(F.col("first"))).select("doc_id", "rk", "start", "end")
+    rows = stash(places(docs, window, words), "line-places")
+    # places that share their fingerprint with another one
+    counts = stash(rows.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1"), "line-counts")
+    met = stash(join_counted(rows, counts, ["fp"], "n").drop("n"), "line-met")
+    unstash(rows, counts)
+    at = F.struct("doc_id", "rk", F.col("ws")[0]["start"].alias("start"))
+    kinds = stash(met.groupBy("fp", "th").agg(F.count("*").alias("n"), F.min(at).alias("p")), "line-kinds")
+    settled = join_counted(met, kinds, ["fp", "th"], "n").withColumn("first", at.eqNullSafe(F.col("p"))).drop("p")
+    # like an earlier place in all its windows
+    whole = settled.filter("NOT first").select("doc_id", "rk", F.col("ws")[0]["start"].alias("start"), F.element_at("ws", -1)["end"].alias("end"))
+    single = stash(settled.filter("first").select("fp", "doc_id", "rk", F.explode("ws").alias("w")).select("fp", "w.wh", "doc_id", "rk", "w.start", "w.end"), "line-windows")
+    start = F.struct("doc_id", "rk", "start")
+    equal = stash(single.groupBy("fp", "wh").agg(F.count("*").alias("n"), F.min(start).alias("p")).filter("n > 1"), "line-equal")
+    part = join_counted(single, equal, ["fp", "wh"], "n").filter(~start.eqNullSafe(F.col("p"))).select("doc_id", "rk", "start", "end")
+    later = whole.union(part)
     if words is not None:
         # a short window inside a longer one ends where that does
         later = later.withColumn("end", F.max("end").over(W.partitionBy("doc_id", "rk").orderBy("start"))).distinct()
     out = stash(later, "line-runs")
-    unstash(rows, met)
+    unstash(met, kinds, single, equal)
     return out
 
 

@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -21,16 +23,21 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 _own_root: list[str] = []
+#: Folders written and not yet deleted.
+_written: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset (single-process tests) a temporary folder is made.
+    Where that is unset a temporary folder is made, but only in local mode: on a
+    cluster each executor would write its part to a disk of its own.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _own_root:
         path = tempfile.mkdtemp(prefix="lexarium-")
         atexit.register(shutil.rmtree, path, ignore_errors=True)
@@ -39,7 +46,20 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/lexarium/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/lexarium/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Deletes at its end what was written below the shared folder since its beginning; nothing may read that later."""
+    before = set(_written)
+    try:
+        yield
+    finally:
+        for path in [p for p in _written if p not in before]:
+            remove(spark, path)
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
@@ -68,6 +88,8 @@ def remove(spark: SparkSession, folder: str) -> None:
     """Delete a folder through Spark's file systems."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if folder in _written:
+        _written.remove(folder)
 
 
 def text_bytes(name: str = "text") -> Column:
@@ -80,6 +102,25 @@ def row_key(*names: str) -> Column:
     return F.xxhash64(*names)
 
 
+_HEAVY = 512
+
+
+def join_counted(left: DataFrame, right: DataFrame, keys: list[str], n: str, how: str = "inner") -> DataFrame:
+    """``left`` joined to ``right`` on ``keys``; a key that many rows of ``left`` share stays where those rows are.
+
+    ``right`` is a written table with one row a key, whose column ``n`` is the number of
+    rows of ``left`` with that key; both frames are read twice.  A key with more than one in
+    512 rows is heavy.  There are fewer than 512 of them, whatever the data, so
+    they are broadcast; the rest meet by a shuffle.  ``how`` is inner or left_semi.
+    """
+    heavy = right.filter(F.col(n) * _HEAVY > left.count())
+    if heavy.isEmpty():
+        return left.join(right, keys, how)
+    rest = right.filter(F.col(n) * _HEAVY <= left.count())
+    light = left.join(F.broadcast(heavy.select(*keys)), keys, "left_anti")
+    return left.join(F.broadcast(heavy), keys, how).unionByName(light.join(rest, keys, how))
+
+
 def sample_by_hash(df: DataFrame, key: Column, count: int, limit: int) -> DataFrame:
     """About ``limit`` of ``count`` rows, the same ones on each run.
 
