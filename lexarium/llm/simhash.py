@@ -2,39 +2,43 @@
 
 A 64-bit fingerprint is cut into 32 segments of two bits; the bit counts of the
 segments (0, 1 or 2 each) embed it in a grid where the Manhattan distance never
-exceeds the Hamming distance.  Fingerprints within three bits are within three
-steps on the grid, so in one half of the 32 coordinates they are at most one
-step apart.  For each half a fingerprint therefore meets the others in its own
-cell, and those whose half differs by one step in one coordinate.  Neighbours by
-one step have coordinate sums of different parity: only odd cells probe their
-neighbours, so each pair of cells meets once.  Pairs that meet are filtered by
-the Manhattan bound of all coordinates, then by the exact number of bits.
+exceeds the Hamming distance.  The segments are dealt to g groups.  Fingerprints within
+three bits are within three steps on the grid, so at most three groups differ
+and g - 3 agree in all their counts: a cell of the range join is a choice of g - 3 groups with their
+counts, and near fingerprints meet in one at least.  Of the cells in which a pair
+meets only the first one (by groups) reports it.  Pairs that meet are filtered by
+the Manhattan bound of all coordinates, then by the exact number of bits.  g
+grows with the number of fingerprints, so that a random one meets a few others,
+whatever their number; every g finds the same pairs.
 
 Only distinct fingerprints are joined; exact copies meet as one fingerprint and
 are never expanded into pairs.  Links are reduced to components by star
-contraction over written tables (see ``shared.components``).
+contraction over written tables (see ``shared.components``); a component is known
+by its least fingerprint, its id is the least doc_id of its rows.
 
 Cases: a null or blank text has fingerprint zero and links like any other; one
-or two words form a single shingle; repeated rows share a fingerprint and so a
-component; rows without a doc_id link and bridge like any other, and a component
-without any doc_id has none as its id (doc_ids lie below 0x6000000000000000);
+or two words form a single shingle; very long texts are taken whole; repeated rows share a fingerprint and so a
+component; rows of one doc_id with different texts count by their texts, each in its own
+component, and do not tie those together; rows without a doc_id link and bridge like any other, and a component
+without any doc_id has none as its id; ties between rows can't arise, since ids are least values;
 an empty table gives an empty table; further columns are ignored.
 """
 
 from __future__ import annotations
 
-from itertools import repeat
+from itertools import combinations, repeat
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .shared import components, stash, text_bytes
+from .shared import components, join_counted, mix64, stash, text_bytes, unstash
 
 _EVEN = 0x5555555555555555
-#: Numbers from here on stand for rows without a doc_id; those that share one differ in three bits at most, so they link.
-_UNNAMED = 0x6000000000000000
+#: Numbers of groups that the segments can be dealt to.
+_GROUPS = (6, 7, 8, 10, 12, 16)
 
 
 def fingerprint(text: bytes, width: int = 3) -> int:
@@ -62,50 +66,47 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def _cells(fps: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(row, cell, own) for both halves: the own cell, and the probed neighbours of odd ones."""
-    even = np.uint64(_EVEN)
-    rows, cells, own = [], [], []
-    counts = (fps & even) + ((fps >> np.uint64(1)) & even)  # two bits a segment
-    for half in range(2):
-        c = (counts >> np.uint64(32 * half)) & np.uint64(0xFFFFFFFF)
-        tag = np.uint64(half << 32)
-        seg = (c[:, None] >> (np.arange(16, dtype=np.uint64) * np.uint64(2))) & np.uint64(3)
-        rows.append(np.arange(len(fps)))
-        cells.append(c | tag)
-        own.append(np.ones(len(fps), bool))
-        odd = seg.sum(1) % 2 == 1
-        for j in range(16):
-            step = np.uint64(1 << (2 * j))
-            for can, cell in ((odd & (seg[:, j] < 2), c + step), (odd & (seg[:, j] > 0), c - step)):
-                at = np.flatnonzero(can)
-                rows.append(at)
-                cells.append(cell[at] | tag)
-                own.append(np.zeros(len(at), bool))
-    return np.concatenate(rows), np.concatenate(cells).view(np.int64), np.concatenate(own)
-
-
-def grid(distinct: DataFrame) -> DataFrame:
-    """(cell, fp, rep, own) rows of distinct fingerprints (fp, rep)."""
+def group_masks(groups: int) -> list[int]:
+    """The two-bit count fields of each group; sizes differ by one segment at most."""
+    ends = [32 * k // groups for k in range(groups + 1)]
+    return [(1 << 2 * e) - (1 << 2 * b) for b, e in zip(ends, ends[1:])]
+
+
+def groups_for(count: int) -> int:
+    """The least number of groups at which a random fingerprint among ``count`` meets about four others at most."""
+    alike = 3 / 8  # the chance that two random segments have equal counts
+    return next((g for g in _GROUPS if count * comb(g, 3) * alike ** (32 * (g - 3) / g) <= 4), _GROUPS[-1])
+
+
+def grid(distinct: DataFrame, groups: int) -> DataFrame:
+    """(cell, fp, rep) rows of distinct fingerprints (fp, rep); a cell's lowest ten bits number the choice of groups."""
+    masks = group_masks(groups)
+    choices = np.array([sum(masks[g] for g in c) for c in combinations(range(groups), groups - 3)], np.uint64)
 
     def run(batches):
+        even, one, low = np.uint64(_EVEN), np.uint64(1), np.uint64(1023)
+        number = np.arange(len(choices), dtype=np.uint64)
         for whole in batches:
-            for at in range(0, whole.num_rows, 16384):
-                b = whole.slice(at, 16384)
+            for at in range(0, whole.num_rows, 8192):
+                b = whole.slice(at, 8192)
                 fps = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                rows, cells, own = _cells(fps.view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(fps[rows]), b.column(1).take(pa.array(rows)), pa.array(own)], names=["cell", "fp", "rep", "own"])
+                x = fps.view(np.uint64)
+                counts = (x & even) + ((x >> one) & even)  # two bits a segment
+                cells = (mix64((counts[:, None] & choices) + number) & ~low) | number
+                rows = np.repeat(np.arange(len(fps)), len(choices))
+                yield pa.RecordBatch.from_arrays([pa.array(cells.reshape(-1).view(np.int64)), pa.array(fps[rows]), b.column(1).take(pa.array(rows))], names=["cell", "fp", "rep"])
 
-    return distinct.select("fp", "rep").mapInArrow(run, "cell long, fp long, rep long, own boolean")
+    return distinct.select("fp", "rep").mapInArrow(run, "cell long, fp long, rep long")
 
 
 def links(distinct: DataFrame, bits: int = 3) -> DataFrame:
-    """Pairs (a, b) of representatives whose fingerprints differ in at most ``bits`` (3 or fewer) bits."""
+    """Pairs (a, b) of representatives whose fingerprints (fp, rep: one row each) differ in at most ``bits`` (3 or fewer) bits."""
     if bits > 3:
-        raise ValueError("the half-grid join finds pairs at 3 or fewer bits")
-    cells = grid(distinct)
-    left = cells.selectExpr("cell", "fp AS f", "rep AS a", "own")
-    right = cells.filter("own").selectExpr("cell", "fp AS g", "rep AS b")
+        raise ValueError("the grid join finds pairs at 3 or fewer bits")
+    groups = groups_for(distinct.count())
+    cells = grid(distinct, groups)
+    left = cells.selectExpr("cell", "fp AS f", "rep AS a")
+    right = cells.selectExpr("cell", "fp AS g", "rep AS b")
     # bit counts of the segments as two-bit fields, by half adders (sums could overflow a long)
     even = lambda c: f"({c} & {_EVEN})"
     odd = lambda c: f"(shiftrightunsigned({c}, 1) & {_EVEN})"
@@ -113,24 +114,27 @@ def links(distinct: DataFrame, bits: int = 3) -> DataFrame:
     # |x - y| over two-bit fields: a field of the xor is 0 (equal), 1 or 3 (one step), 2 (two steps)
     xor = f"({count('f')} ^ {count('g')})"
     steps = f"(bit_count({xor} & {_EVEN}) + 2 * bit_count(shiftrightunsigned({xor}, 1) & ~{xor} & {_EVEN}))"
-    return (
-        left.join(right, "cell")
-        .filter(f"f <> g AND (NOT own OR f < g) AND {steps} <= {bits} AND bit_count(f ^ g) <= {bits}")
-        .selectExpr("least(a, b) AS a", "greatest(a, b) AS b")
-        .distinct()
-    )
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    equal = " + ".join(f"IF(({xor} & {signed(m)}L) = 0, {1 << k}, 0)" for k, m in enumerate(group_masks(groups)))
+    chosen = [sum(1 << k for k in c) for c in combinations(range(groups), groups - 3)]
+    pick = lambda xs: f"element_at(array({', '.join(map(str, xs))}), CAST(cell & 1023 AS INT) + 1)"
+    upto = [(1 << c.bit_length()) - 1 for c in chosen]
+    first = f"(({equal}) & {pick(upto)}) = {pick(chosen)}"
+    met = left.join(right, "cell").filter(f"f < g AND {steps} <= {bits} AND bit_count(f ^ g) <= {bits} AND {first}")
+    return met.selectExpr("least(a, b) AS a", "greatest(a, b) AS b")
 
 
 def near_groups(docs: DataFrame, bits: int = 3, width: int = 3) -> DataFrame:
     """(doc_id, fp, component_id) for each row of ``docs``."""
     fps = stash(fingerprints(docs, width), "fp")
-    # fingerprints that only rows without a doc_id have link like others, under numbers beyond all doc_ids
-    unnamed = F.expr(f"shiftrightunsigned(fp, 3) | {_UNNAMED}")
-    distinct = stash(fps.groupBy("fp").agg(F.coalesce(F.min("doc_id"), unnamed).alias("rep")), "distinct")
-    comps = components(links(distinct, bits))
-    root = F.coalesce("root", "rep")
-    roots = distinct.join(comps, distinct.rep == comps.node, "left").select("fp", F.when(root < _UNNAMED, root).alias("component_id"))
-    return fps.join(roots, "fp").select("doc_id", "fp", "component_id")
+    distinct = stash(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
+    comps = components(links(distinct.select("fp", F.col("fp").alias("rep")), bits))
+    named = distinct.join(comps, distinct.fp == comps.node, "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root"))
+    named = stash(named, "named")
+    ids = stash(named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("kinds")), "ids")
+    roots = stash(join_counted(named, ids, ["root"], "kinds").select("fp", "n", "component_id"), "roots")
+    unstash(distinct, named, ids)
+    return join_counted(fps, roots, ["fp"], "n").select("doc_id", "fp", "component_id")
 
 
 def one_per_group(docs: DataFrame, bits: int = 3, width: int = 3) -> DataFrame:
