@@ -1,8 +1,10 @@
 """Exact top-k inner products by dual-tree cover-tree search.
 
-Vectors are quantised to integers, floor(256 x).  Queries (a stated set) are
-taken in blocks of bounded size; each block is indexed in a cover tree and sent
-to the tasks (``query_block`` x dimensions is the size bound).  Every task
+Vectors are quantised to integers, floor(256 x).  Queries (a stated set) are dealt by
+hash to blocks of about ``query_block`` rows; tasks index each block in a cover tree
+and find a first kth score of its queries among a bounded sample of the rows.
+The trees pass through the driver in waves of bounded size and go to
+all tasks, and each wave is one scan of the rows.  Every task
 indexes its own rows, batch by batch, in cover trees and walks both trees
 together: with centres c and covering radii r of a query node and a data node,
 no pair below them scores more than
@@ -11,13 +13,15 @@ no pair below them scores more than
 
 so the pair is dropped when that is below the worst kth score of the query
 node's queries.  Pairs of leaves are scored as integers.  Worst scores carry over from batch
-to batch.  The k best of each task and query are merged by one window per query.
+to batch and begin with those of the sample.  The k best of each task and query are merged by one window per query.
 
 Equal vectors of a batch share a leaf entry that keeps its k + 1 smallest ids,
 which is all that a top k (without the query itself) can use; nothing is lost.
 
 Cases: vectors that are null or hold null or non-finite components take no part;
-those of each length are searched by themselves; repeated ids compete as
+those of each length are searched by themselves; query rows that are equal in id and
+vector are one query, those of one id with different vectors have ranks of their own; a
+query's candidates are all rows but those of its id, repeated ids competing as
 rows of their own; ties go to the smaller id; fewer than k candidates give
 fewer rows; an empty table gives an empty one; further columns are ignored.
 Scores are exact while they fit 63 bits.
@@ -25,18 +29,26 @@ Scores are exact while they fit 63 bits.
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .shared import stash
+from .shared import stash, unstash
+
+#: Rows of each length that give first bounds, and bytes of query trees sent at a time.
+SAMPLE, WAVE = 1024, 64 << 20
 
 
 class CoverTree:
     """Cover tree over rows of ``x``: nodes with centre, covering radius and children or rows.
 
-    A node of scale s covers its rows within s; its children's centres are rows
-    more than s / 2 apart from each other that cover all rows within s / 2.
+    The centres of a node's children are chosen farthest first, the node's own centre
+    being the first.  They stop once they cover all rows within half the node's
+    radius, or at as many as the rows fill leaves (eight at least).  With
+    s the greatest distance then left, the children cover their rows within s and their
+    centres are at least s apart.
     """
 
     def __init__(self, x: np.ndarray, leaf: int = 64):
@@ -66,14 +78,16 @@ class CoverTree:
             scale = d.max() / 2
             near = d  # distance to the nearest centre so far, the node's own first
             owner = np.full(len(rows), centre)
-            while near.max() > scale and len(np.unique(owner)) < max(8, len(rows) // self.leaf):
+            fan = max(8, len(rows) // self.leaf)
+            kinds = 1
+            while near.max() > scale and kinds < fan:
                 far = int(near.argmax())
                 e = np.sqrt(((self.x[rows] - self.x[rows[far]]) ** 2).sum(1))
                 closer = e < near
                 owner[closer] = rows[far]
                 near = np.minimum(near, e)
-            kinds = np.unique(owner)
-            for c in kinds:
+                kinds += 1
+            for c in np.unique(owner):
                 todo.append((rows[owner == c], int(c), node))
         return first
 
@@ -81,20 +95,22 @@ class CoverTree:
 class Best:
     """The k best (score, id) of each query, with the worst kept score."""
 
-    def __init__(self, n: int, k: int):
+    def __init__(self, n: int, k: int, floor: np.ndarray | None = None):
         self.score = np.full((n, k), np.iinfo(np.int64).min)
         self.ident = np.full((n, k), np.iinfo(np.int64).max)
         self.k = k
+        # the kth score of all rows is known to be no less
+        self.floor = np.full(n, np.iinfo(np.int64).min) if floor is None else floor
 
     def worst(self, q: np.ndarray) -> np.ndarray:
-        return self.score[q, -1]
+        return np.maximum(self.score[q, -1], self.floor[q])
 
     def add(self, q: np.ndarray, score: np.ndarray, ident: np.ndarray, valid: np.ndarray) -> None:
         """Offer each query the scores of candidates: score and valid (queries x candidates), ident (candidates)."""
         score = np.where(valid, score, np.iinfo(np.int64).min)
         hit = (score >= self.worst(q)[:, None]).any(1)
         for row, s in zip(q[hit], score[hit]):
-            at = np.flatnonzero((s >= self.score[row, -1]) & (s > np.iinfo(np.int64).min))
+            at = np.flatnonzero((s >= max(self.score[row, -1], self.floor[row])) & (s > np.iinfo(np.int64).min))
             both_s = np.concatenate([self.score[row], s[at]])
             both_i = np.concatenate([self.ident[row], ident[at]])
             order = np.lexsort((both_i, -(both_s + 1)))[: self.k]  # plus one: the least long has no negative
@@ -112,22 +128,46 @@ def integer_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class QueryBlock:
-    def __init__(self, ids: np.ndarray, x: np.ndarray):
-        self.ids, self.x, self.tree = ids, x, CoverTree(x, 128)
+    """Queries, their cover tree and the first bounds of their kth scores."""
+
+    def __init__(self, ids: np.ndarray, keys: np.ndarray, x: np.ndarray):
+        self.ids, self.keys, self.x, self.tree = ids, keys, x, CoverTree(x, 128)
+        self.floor = np.full(len(ids), np.iinfo(np.int64).min)
+
+    def prime(self, k: int, ids: np.ndarray, x: np.ndarray) -> None:
+        """Take the kth scores among some rows as first bounds."""
+        best = Best(len(self.ids), k)
+        search_batch(self, best, ids, x)
+        self.floor = best.score[:, -1].copy()
+
+
+class RowTree:
+    """A batch of rows, each distinct vector once, and their cover tree."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int):
+        order = np.argsort(ids, kind="stable")
+        self.ids, self.x = ids[order], x[order]
+        unique, owner = np.unique(self.x, axis=0, return_inverse=True)
+        owner = owner.reshape(-1)
+        by = np.argsort(owner, kind="stable")  # ids rise within an owner
+        begin = np.searchsorted(owner[by], np.arange(len(unique) + 1))
+        rank = np.arange(len(by)) - begin[owner[by]]
+        self.by = by[rank <= k]  # the k + 1 smallest ids of each vector
+        self.begin = np.searchsorted(owner[self.by], np.arange(len(unique) + 1))
+        self.tree = CoverTree(unique, 512)
+
+    def rows(self, node: int) -> np.ndarray:
+        return np.concatenate([self.by[self.begin[u] : self.begin[u + 1]] for u in self.tree.rows[node]])
 
 
 def search_batch(block: QueryBlock, best: Best, ids: np.ndarray, x: np.ndarray) -> None:
+    """Offer one batch of rows to the queries of a block."""
+    walk(block, best, RowTree(ids, x, best.k))
+
+
+def walk(block: QueryBlock, best: Best, batch: RowTree) -> None:
     """Walk the trees of a query block and of one batch of rows together."""
-    order = np.argsort(ids, kind="stable")
-    ids, x = ids[order], x[order]
-    unique, owner = np.unique(x, axis=0, return_inverse=True)
-    owner = owner.reshape(-1)
-    by = np.argsort(owner, kind="stable")  # ids rise within an owner
-    begin = np.searchsorted(owner[by], np.arange(len(unique) + 1))
-    rank = np.arange(len(by)) - begin[owner[by]]
-    by = by[rank <= best.k]  # the k + 1 smallest ids of each vector
-    begin = np.searchsorted(owner[by], np.arange(len(unique) + 1))
-    tree, q = CoverTree(unique, 512), block.tree
+    tree, q = batch.tree, block.tree
     if tree.root < 0 or q.root < 0:
         return
     stack = [(q.root, tree.root)]
@@ -135,13 +175,13 @@ def search_batch(block: QueryBlock, best: Best, ids: np.ndarray, x: np.ndarray)
         a, b = stack.pop()
         cross = float(q.centre[a] @ tree.centre[b])
         bound = cross + q.norm[a] * tree.radius[b] + tree.norm[b] * q.radius[a] + q.radius[a] * tree.radius[b]
-        below = q.rows[a] if q.rows[a] is not None else rows_below(q, a)
+        below = rows_below(q, a)
         if bound + 1e-6 * abs(bound) + 1 < float(best.worst(below).min()):
             continue
         if q.rows[a] is not None and tree.rows[b] is not None:
-            rows = np.concatenate([by[begin[u] : begin[u + 1]] for u in tree.rows[b]])
-            score = integer_products(block.x[below], x[rows])
-            best.add(below, score, ids[rows], block.ids[below][:, None] != ids[rows][None, :])
+            rows = batch.rows(b)
+            score = integer_products(block.x[below], batch.x[rows])
+            best.add(below, score, batch.ids[rows], block.ids[below][:, None] != batch.ids[rows][None, :])
         elif tree.rows[b] is not None or (q.rows[a] is None and q.radius[a] > tree.radius[b]):
             stack += [(c, b) for c in q.children[a]]
         else:  # the child nearest in angle is walked first
@@ -164,34 +204,72 @@ def quantised(vectors: DataFrame, ident: str = "vec_id", column: str = "embeddin
     return whole.select(F.col(ident).cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(x * 256)).alias("v"))
 
 
+def query_trees(vectors: DataFrame, queries: DataFrame, dim: int, count: int, k: int, query_block: int) -> DataFrame:
+    """Pickled blocks of queries of length ``dim``, built and given first bounds in tasks: block, bytes."""
+    spark = vectors.sparkSession
+    drawn = vectors.filter(F.size("v") == dim).select("vec_id", "v").orderBy(F.xxhash64("vec_id", "v")).limit(SAMPLE).toPandas()  # at most SAMPLE rows
+    sample = spark.sparkContext.broadcast((drawn["vec_id"].to_numpy(np.int64), np.array(drawn["v"].tolist(), np.int64).reshape(len(drawn), dim)))
+    blocks = max(1, -(-count // query_block))
+    own = queries.filter(F.size("v") == dim).withColumn("qkey", F.xxhash64("v")).withColumn("block", F.pmod(F.xxhash64("vec_id", "qkey"), F.lit(blocks)).cast("int"))
+
+    def build(p):
+        p = p.sort_values(["vec_id", "qkey"])
+        block = QueryBlock(p["vec_id"].to_numpy(np.int64), p["qkey"].to_numpy(np.int64), np.stack(p["v"].to_numpy()).astype(np.int64))
+        block.prime(k, *sample.value)
+        return pd.DataFrame({"block": [int(p["block"].iloc[0])], "bytes": [pickle.dumps(block)]})
+
+    return stash(own.select("block", "vec_id", "qkey", "v").groupBy("block").applyInPandas(build, "block int, bytes binary"), "query-trees")
+
+
+def scan_wave(rows: DataFrame, blocks: list[bytes], k: int) -> DataFrame:
+    """The candidates of some query blocks among ``rows``, in one scan: query_id, qkey, vec_id, score."""
+    sent = rows.sparkSession.sparkContext.broadcast(blocks)  # at most WAVE bytes or one block
+
+    def run(batches):
+        blocks = [pickle.loads(b) for b in sent.value]
+        best = [Best(len(b.ids), k, b.floor) for b in blocks]
+        for p in batches:
+            if len(p):
+                ids, x = p["vec_id"].to_numpy(np.int64), np.stack(p["v"].to_numpy()).astype(np.int64)
+                tree = RowTree(ids, x, k)
+                for b, found in zip(blocks, best):
+                    walk(b, found, tree)
+        for b, found in zip(blocks, best):
+            row, col = np.nonzero(found.ident != np.iinfo(np.int64).max)
+            yield pd.DataFrame({"query_id": b.ids[row], "qkey": b.keys[row], "vec_id": found.ident[row, col], "score": found.score[row, col]})
+
+    out = stash(rows.mapInPandas(run, "query_id long, qkey long, vec_id long, score long"), "top-candidates")
+    sent.destroy()
+    return out
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, query_block: int = 16384) -> DataFrame:
     """query_id, rank, vec_id, score of the k best of ``vectors`` for each of ``queries`` (both vec_id, v).
 
     Vectors of each length are searched by themselves.
     """
-    spark = vectors.sparkSession
-    counts = {r.dim: r.n for r in queries.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).collect()} or {0: 0}
+    asked = stash(queries.select("vec_id", "v").distinct(), "queries")
+    found = []
+    # one row for each length of vectors
+    for dim, count in sorted((r.dim, r.n) for r in asked.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).collect()):
+        trees = query_trees(vectors, asked, dim, count, k, query_block)
+        rows = vectors.filter(F.size("v") == dim).select("vec_id", "v")
+        wave, size = [], 0
+        for r in trees.orderBy("block").toLocalIterator():
+            if wave and size + len(r.bytes) > WAVE:
+                found.append(scan_wave(rows, wave, k))
+                wave, size = [], 0
+            wave.append(bytes(r.bytes))
+            size += len(r.bytes)
+        found.append(scan_wave(rows, wave, k))
+        unstash(trees)
     out = None
-    for dim, block, blocks in ((d, b, max(1, -(-n // query_block))) for d, n in sorted(counts.items()) for b in range(max(1, -(-n // query_block)))):
-        # one block: about query_block rows, whatever the corpus
-        part = queries.filter((F.size("v") == dim) & (F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block)).toPandas().sort_values("vec_id")
-        if part.empty and out is not None:
-            continue
-        x = np.array(part["v"].tolist(), np.int64).reshape(len(part), dim)
-        sent = spark.sparkContext.broadcast(QueryBlock(part["vec_id"].to_numpy(np.int64), x))
-
-        def run(batches, sent=sent):
-            q = sent.value
-            best = Best(len(q.ids), k)
-            for p in batches:
-                if len(p) and len(q.ids):
-                    search_batch(q, best, p["vec_id"].to_numpy(np.int64), np.stack(p["v"].to_numpy()).astype(np.int64))
-            row, col = np.nonzero(best.ident != np.iinfo(np.int64).max)
-            yield pd.DataFrame({"query_id": q.ids[row], "vec_id": best.ident[row, col], "score": best.score[row, col]})
-
-        found = vectors.filter(F.size("v") == dim).mapInPandas(run, "query_id long, vec_id long, score long")
-        out = found if out is None else out.union(found)
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    for part in found:
+        out = part if out is None else out.union(part)
+    if out is None:
+        out = vectors.sparkSession.createDataFrame([], "query_id long, qkey long, vec_id long, score long")
+    unstash(asked)
+    order = W.partitionBy("query_id", "qkey").orderBy(F.desc("score"), "vec_id")
     return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
