@@ -12,7 +12,8 @@ Tokens never move: only doc_id, piece, start, length and a checksum are dealt.
 The number of a row in its task is part of the hash, so that repeated rows
 spread over the shards; written pieces keep it when a task runs again.
 
-Cases: a null or blank text is the closing id alone; repeated rows are packed
+Cases: a special token that a text spells out becomes its own id, as ``tokenizers`` has
+it; a null or blank text is the closing id alone; repeated rows are packed
 each on their own; an empty table gives an empty one; further columns are
 ignored; a null doc_id is packed like any other.
 """
@@ -99,7 +100,7 @@ def pieces(docs: DataFrame, capacity: int = 2048, path: str | None = None, with_
         for b in batches:
             doc, piece, start, length, crc, nth, parts = [], [], [], [], [], [], []
             for d, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = np.append(enc.ids(text or ""), np.uint32(0)).astype("<u4")
+                ids = np.append(enc.marked_ids(text or ""), np.uint32(0)).astype("<u4")
                 n = len(ids)
                 at = 0
                 row += 1

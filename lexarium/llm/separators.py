@@ -10,11 +10,13 @@ of a document that began blocks earlier.  Summaries are one row a block, whateve
 the documents' sizes; a document may span any number of blocks.
 
 ``write_flat`` produces such files in the folder that driver and executors
-share, one for each task, under names that depend only on the partition: a task
-that is run again writes the same bytes, to a name of its own first.  Its manifest
-lists the ordinals of doc_ids but no boundaries.
+share, one for each attempt of a task, under a name of its own.  Its written manifest lists
+files and the ordinals of doc_ids but no boundaries; a file of an attempt that did
+not finish is not in it and is not scanned.
 
-Cases: a null or blank text is a closing id alone (0 tokens); repeated rows are
+Cases: a null or blank text is a closing id alone (0 tokens); a text that spells out the
+end-of-document token counts it as the ordinary characters that it is, so it does not
+end the document; very long texts may span any number of blocks; repeated rows are
 documents of their own; an empty table or file gives no rows; tokens after a
 file's last closing id are an unclosed document and are reported with closed
 false; further columns are ignored.
@@ -37,8 +39,9 @@ END_ID = 50256
 BLOCK_IDS = 1 << 20
 
 
-def id_type(end_id: int) -> str:
-    return "<u2" if end_id < 1 << 16 else "<u4"
+def id_type(greatest: int) -> str:
+    """The narrowest type of file that holds ids up to ``greatest``."""
+    return "<u2" if greatest < 1 << 16 else "<u4"
 
 
 def _open(uri: str):
@@ -51,26 +54,33 @@ def _open(uri: str):
 def write_flat(docs: DataFrame, folder: str, end_id: int = END_ID, path: str | None = None) -> DataFrame:
     """Write ``docs`` (doc_id, text) as flat token files; returns the written manifest (file, ordinal, doc_id)."""
     spark = docs.sparkSession
-    source = spark.sparkContext.broadcast(source_of(path))
+    text = source_of(path)
+    if end_id in Tokens.of(text).fast._mergeable_ranks.values():
+        raise ValueError(f"ordinary text can encode to the end-of-document id {end_id}")
+    kind = file_type(end_id, path)
+    source = spark.sparkContext.broadcast(text)  # a vocabulary file: a few MB, whatever the corpus
 
     def run(batches):
-        enc, kind = Tokens.of(source.value), id_type(end_id)
+        enc = Tokens.of(source.value)
         store, root = _open(folder)
-        name = f"tokens-{TaskContext.get().partitionId():06d}.bin"
-        trial = f"{root}/_trial-{uuid.uuid4().hex}"
+        name = f"tokens-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.bin"
         store.create_dir(root, recursive=True)
         n = 0
-        with store.open_output_stream(trial) as f:
+        with store.open_output_stream(f"{root}/{name}") as f:
             for b in batches:
                 for text in b.column(1).to_pylist():
                     f.write(np.append(enc.ids(text or ""), np.uint32(end_id)).astype(kind).tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array([name] * b.num_rows, pa.string()), pa.array(np.arange(n, n + b.num_rows)), b.column(0)], names=["file", "ordinal", "doc_id"])
                 n += b.num_rows
-        store.move(trial, f"{root}/{name}")
 
     return stash(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "file string, ordinal long, doc_id long"), "manifest")
 
 
+def file_type(end_id: int, path: str | None = None) -> str:
+    """The type of the files that ``write_flat`` makes with a vocabulary."""
+    return id_type(max(end_id, Tokens.of(source_of(path)).greatest))
+
+
 def flat_files(spark: SparkSession, folder: str) -> list[tuple[str, int]]:
     """Names and sizes of the token files below ``folder``, listed through Spark's file systems."""
     p = spark._jvm.org.apache.hadoop.fs.Path(folder)
@@ -80,11 +90,11 @@ def flat_files(spark: SparkSession, folder: str) -> list[tuple[str, int]]:
     return sorted((s.getPath().getName(), s.getLen()) for s in store.listStatus(p) if s.getPath().getName().endswith(".bin"))
 
 
-def scan(spark: SparkSession, folder: str, end_id: int = END_ID, block_ids: int = BLOCK_IDS) -> DataFrame:
-    """file, ordinal, start, n_tokens and closed of each document in the token files of ``folder``."""
-    listed = [(name, size) for name, size in flat_files(spark, folder) if size]
+def scan(spark: SparkSession, folder: str, end_id: int = END_ID, block_ids: int = BLOCK_IDS, kind: str | None = None, only: set[str] | None = None) -> DataFrame:
+    """file, ordinal, start, n_tokens and closed of each document in the token files of ``folder``, or ``only`` those of some names."""
+    listed = [(name, size) for name, size in flat_files(spark, folder) if size and (only is None or name in only)]
     files = spark.createDataFrame(listed, "file string, bytes long")
-    kind = id_type(end_id)
+    kind = kind or id_type(end_id)
     width = int(kind[-1])
     ids = F.floor(F.col("bytes") / width)
     blocks = files.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((ids - 1) / block_ids)))).select("file", "block", F.least(ids - F.col("block") * block_ids, F.lit(block_ids)).alias("ids"))
@@ -116,6 +126,7 @@ def token_counts(docs: DataFrame, end_id: int = END_ID, path: str | None = None,
     """doc_id and n_tokens of each row, counted in flat files that are written for it."""
     folder = shared_path(docs.sparkSession, "flat")
     manifest = write_flat(docs, folder, end_id, path)
-    counted = scan(docs.sparkSession, folder, end_id, block_ids)
+    written = {r.file for r in manifest.select("file").distinct().collect()}  # one name a task
+    counted = scan(docs.sparkSession, folder, end_id, block_ids, file_type(end_id, path), written)
     remove(docs.sparkSession, folder)  # the scan has read them
     return manifest.join(counted, ["file", "ordinal"]).select("doc_id", "n_tokens")

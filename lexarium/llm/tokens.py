@@ -3,12 +3,15 @@
 The vocabulary is read from the JSON file of the ``tokenizers`` library.  Ids
 are found by ``tiktoken`` over the same merges, several times faster; a text it
 can't take (regular-expression limits on extreme runs) goes through
-``tokenizers`` itself.  Both give the same ids (tests compare them).
+``tokenizers`` itself.  Both give the same ids (tests compare them).  A text that
+spells out a special token such as ``<|endoftext|>`` can be read in two ways, see
+``Tokens.ids`` and ``Tokens.marked_ids``.
 """
 
 from __future__ import annotations
 
 import json
+import re
 
 import numpy as np
 
@@ -39,9 +42,10 @@ class Tokens:
 
         self.source, self._slow = source, None
         spec = json.loads(source)
-        special = {t["content"] for t in spec.get("added_tokens", [])}
+        self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        self.parts = re.compile("|".join(f"({re.escape(t)})" for t in sorted(self.special, key=len, reverse=True)) or r"(?!)")
         back = _byte_of()
-        ranks = {bytes(back[c] for c in tok): i for tok, i in spec["model"]["vocab"].items() if tok not in special}
+        ranks = {bytes(back[c] for c in tok): i for tok, i in spec["model"]["vocab"].items() if tok not in self.special}
         self.fast = tiktoken.Encoding("lexarium", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     @classmethod
@@ -61,7 +65,21 @@ class Tokens:
             self._slow.encode_special_tokens = True
         return self._slow.encode(text, add_special_tokens=False).ids
 
+    @property
+    def greatest(self) -> int:
+        """The greatest id that ordinary text can encode to."""
+        return max(self.fast._mergeable_ranks.values())
+
+    def marked_ids(self, text: str) -> np.ndarray:
+        """Ids as ``tokenizers`` gives them by itself: special tokens that a text spells out become their own ids."""
+        out, at = [], 0
+        for m in self.parts.finditer(text):
+            out += [self.ids(text[at : m.start()]), np.array([self.special[m[0]]], "<u4")]
+            at = m.end()
+        return np.concatenate([*out, self.ids(text[at:])]) if out else self.ids(text)
+
     def ids(self, text: str) -> np.ndarray:
+        """Ids of a text in which nothing is special."""
         try:
             return np.array(self.fast.encode_ordinary(text), "<u4")
         except BaseException as e:  # the library's own panics derive from BaseException
