@@ -8,9 +8,12 @@ neighbouring words are learned with them.  Labels come from forward-backward
 over the whole text; a document's language is the one with the greatest
 posterior mass over its words, its score that mass per word.
 
-Training uses a bounded sample of labelled documents (``per_lang`` for each of
-at most ``max_langs`` languages).  Their words carry the document's label;
-sequences that join passages of several documents teach the transitions.
+Training uses a bounded sample of distinct labelled texts, drawn by the hash of the text:
+``per_lang`` for each language that any row is labelled with, ``most_texts`` for all of them
+together (but eight each), of longer texts a passage of ``most_chars`` characters from a hashed place.
+Their words carry the text's label; 48-word sequences that join passages of several texts teach
+the field, 4,000 of them or 100 a language, whichever is more.  Languages are
+never left out; the model in the driver grows with their number, not with that of rows.
 
 Long texts are cut into segments for speed only: each segment's transfer matrix
 passes exact messages across the cuts, so the result is that of one chain.
@@ -28,7 +31,9 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+
+from .shared import stash, unstash
 
 _WORDS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -202,7 +207,7 @@ def train(docs: list[tuple[str, list[str]]], steps: int = 40, rate: float = 0.5,
     crf.transitions = np.zeros((k, k), np.float32)
     if k == 1:
         return crf
-    seqs = training_sequences(docs, langs, rng)
+    seqs = training_sequences(docs, langs, rng, most=max(4000, 100 * k))
     vocab: dict = {}
     numbers = [np.array([vocab.setdefault(w, len(vocab)) for w in ws]) for ws, _ in seqs]
     labels = [np.array(ls) for _, ls in seqs]
@@ -243,8 +248,9 @@ def _marginals(e: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray
         right = beta[:, t] * pot[:, t]
         z = right @ a.T
         beta[:, t - 1] = z / z.max(1, keepdims=True)
-        joint = alpha[:, t - 1][:, :, None] * a[None] * right[:, None, :]
-        pairs += (joint / joint.sum((1, 2), keepdims=True)).sum(0)
+        # alpha_i a_ij right_j, each sequence's scaled to sum 1
+        whole = (alpha[:, t - 1] * (right @ a.T)).sum(1, keepdims=True)
+        pairs += a * ((alpha[:, t - 1] / whole).T @ right)
     p = alpha * beta
     return p / p.sum(2, keepdims=True), pairs
 
@@ -254,15 +260,23 @@ def held_out(modulus: int = 5, remainder: int = 0) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus == remainder
 
 
-def training_sample(docs: DataFrame, per_lang: int = 400, max_langs: int = 64) -> list[tuple[str, list[str]]]:
-    """At most about ``per_lang`` documents for each of the ``max_langs`` most frequent languages."""
-    learn = docs.filter(~held_out() & F.col("lang").isNotNull()).select("doc_id", "lang", "text")
-    counts = learn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
-    if not counts:
+def training_sample(docs: DataFrame, per_lang: int = 400, most_texts: int = 25_600, most_chars: int = 20_000) -> list[tuple[str, list[str]]]:
+    """About ``per_lang`` distinct texts (twice as many at most) of each language, fewer if all would be over ``most_texts``."""
+    th = F.xxhash64(F.coalesce("text", F.lit("")))
+    learn = docs.filter(~held_out() & F.col("lang").isNotNull()).select("lang", "text", th.alias("th"))
+    # one row a language
+    counts = stash(learn.groupBy("lang").agg(F.approx_count_distinct("th").alias("n")), "langs")
+    langs = counts.count()
+    if not langs:
         return []
-    share = F.coalesce(*(F.when(F.col("lang") == c["lang"], F.lit(int((1 << 30) * min(1.0, per_lang / c["count"])))) for c in counts), F.lit(0))
-    picked = learn.filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < share).select("lang", "text", "doc_id").distinct().collect()
-    return [(r["lang"], words_of(r["text"])) for r in sorted(picked, key=lambda r: (str(r["doc_id"]), r["lang"], r["text"] or ""))]
+    each = min(per_lang, max(8, most_texts // langs))
+    draw = F.pmod(F.xxhash64("th", F.lit(3)), F.lit(1 << 30))
+    over = F.length("text") - most_chars
+    part = F.when(over > 0, F.expr(f"substring(text, CAST(1 + pmod(th, length(text) - {most_chars}) AS INT), {most_chars})")).otherwise(F.col("text"))
+    near = learn.join(counts, "lang").filter(draw < F.lit(float(each << 30)) / F.col("n")).select("lang", "th", draw.alias("draw"), part.alias("text")).distinct()
+    picked = near.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("draw", "th"))).filter(F.col("k") <= 2 * each).select("lang", "th", "text").collect()
+    unstash(counts)
+    return [(r["lang"], words_of(r["text"])) for r in sorted(picked, key=lambda r: (r["lang"], r["th"], r["text"] or ""))]
 
 
 def label_texts(crf: Crf, texts: list[str | None], each: bool = False):
