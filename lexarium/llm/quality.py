@@ -14,7 +14,8 @@ judges nothing.
 Cases: a null or blank text has zero words and fails the base rules; without
 labels or without a passing document only the base rules judge; an empty table
 gives an empty table; repeated rows are judged alike.  A label that joins to
-several rows counts with each.
+several rows counts with each.  Very long texts are counted whole; a score that ties with a
+threshold rejects; further columns are ignored by ``verdicts`` and kept by ``keep_clean``.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import sample_by_hash, stash, text_bytes
+from .shared import sample_by_hash, stash, text_bytes, unstash
 
 #: Fixed by the contract of the statistics.
 SYMBOLS = b"#*$%&|<>"
@@ -200,6 +201,7 @@ def calibrate(forests: Forests, labelled: DataFrame, precision: float, max_clean
         bad, good = above[..., 0], above[..., 1]
         ok = (bad >= max(3, 0.02 * bad[0, 0])) & (bad >= precision * (bad + good)) & (good <= max_clean_loss * np.maximum(good[:, :1], 1)) & np.isinf(forests.thresholds)[:, None]
         if not ok.any():
+            unstash(rows)
             return forests
         caught = np.where(ok, bad - good / precision, -np.inf)
         g = int(caught.max(axis=1).argmax())
@@ -215,7 +217,7 @@ def fit(stats: DataFrame, labels: DataFrame, sample_rows: int = 8192, precision:
     """Forests grown on about ``sample_rows`` documents (twice as many at most) that pass the base rules, calibrated on all labelled ones."""
     passing = stats.filter(~base_failed())
     cols = [x.split()[0] for x in STATS.split(", ")]
-    sample = sample_by_hash(passing, F.coalesce(F.col("doc_id"), F.xxhash64(*cols)), passing.count(), sample_rows).select(*cols).toPandas()
+    sample = sample_by_hash(passing, F.xxhash64("doc_id", *cols), passing.count(), sample_rows).select(*cols).toPandas()
     sample = sample.sort_values(cols).to_numpy()
     marks = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "quality")
     return calibrate(fit_forests(sample), passing.join(marks, "doc_id"), precision, max_clean_loss)
@@ -239,13 +241,19 @@ def verdicts(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns and without a shuffle of texts."""
-    forests = fit(stash(stats_frame(docs), "stats"), labels, **params)
+    """The rows of ``docs`` that the rules keep, with all their columns; rows and their statistics are written together, and nothing is shuffled."""
+
+    @F.pandas_udf(STATS)
+    def counted(text: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([rule_stats(x) for x in text], columns=[x.split()[0] for x in STATS.split(", ")], dtype="int64")
+
+    names = docs.columns
+    rows = stash(docs.select(*names, counted(text_bytes()).alias("_lx_stats")), "counted")
+    forests = fit(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "_lx_stats.*"), labels, **params)
 
     @F.pandas_udf("boolean")
-    def kept(text: pd.Series) -> pd.Series:
-        s = np.array([rule_stats(x) for x in text], np.int64).reshape(-1, 5)
-        fails = (s[:, 0] < 50) | (100 * s[:, 4] > 50 * s[:, 0])
-        return pd.Series(~fails & forests.keeps(s))
+    def verdict(s: pd.DataFrame) -> pd.Series:
+        return pd.Series(forests.keeps(s.to_numpy(np.int64)))
 
-    return docs.filter(kept(text_bytes()))
+    base = (F.col("_lx_stats.n_words") < 50) | (100 * F.col("_lx_stats.n_repeat_words") > 50 * F.col("_lx_stats.n_words"))
+    return rows.filter(~base & verdict("_lx_stats")).select(names)
