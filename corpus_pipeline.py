@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the next stage's docs.  All but the last return the
 columns of documents.
+
+Cases, in all stages: empty tables give empty tables; null texts count as empty;
+very long texts are taken whole; rows without a doc_id, repeated rows and rows of one doc_id with
+different texts are documents like others; ties go by doc_id; columns beyond those of
+documents are dropped at the start of a stage.  What a stage does with each is said there.
 """
 
 from __future__ import annotations
@@ -11,35 +16,44 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexarium.deploy import shipped
 from lexarium.llm import lines, mixing, near, packing, quality
-from lexarium.llm.shared import shared_path
+from lexarium.llm.shared import remove, scratch, shared_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
+    """Documents that the rules reject go: null, blank and short texts among them; repeated rows are judged alike."""
     return quality.keep_clean(docs.select(COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeated runs of three lines or 50 words go; n_chars follows the text."""
+    """Later repeated runs of three lines or 50 words go; n_chars follows the text.
+
+    No row goes: a text that is cut whole stays as an empty one.  Rows that are equal in doc_id and text are cut alike.
+    """
     out = lines.dedup_lines(docs.select(COLUMNS), words=50)
     return out.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, Jaccard 0.8 or more) stays, the one with the smallest doc_id."""
+    """One document of each group of near copies (five-word shingles, Jaccard 0.8 or more) stays, the one with the smallest doc_id.
+
+    Rows without a doc_id come last; of repeated rows, and of null and blank texts, one stays.
+    """
     return near.one_per_group(docs.select(COLUMNS))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Copies of documents in the order of the mix; n_chars follows the text."""
+    """The copies of documents that the mix takes; n_chars follows the text.
+
+    Null and blank texts are never taken; a null source is a source of its own.
+    """
     out = mixing.mixed_rows(docs.select(COLUMNS))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the mixed documents with their places in sequences of 2048 tokens."""
+    """Pieces of the mixed documents with their places in sequences of 2048 tokens; an empty text is the closing id alone."""
     return packing.pack_documents(docs)
 
 
@@ -56,10 +70,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to documents, writing what each one keeps."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Apply all stages to documents, writing what each one keeps; a stage's input and tables go once its output is written."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = shared_path(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if last:
+            remove(spark, last)
+        last = path
     return docs
