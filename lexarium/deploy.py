@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
+import shutil
 import tempfile
 import zipfile
 from collections.abc import Callable
@@ -19,7 +21,9 @@ def ship(spark: SparkSession) -> None:
     if sc.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent
-    target = Path(tempfile.mkdtemp(prefix="lexarium-zip-")) / f"{root.name}.zip"
+    folder = tempfile.mkdtemp(prefix="lexarium-zip-")  # the driver's own: Spark sends the file on
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = Path(folder) / f"{root.name}.zip"
     with zipfile.ZipFile(target, "w") as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))
