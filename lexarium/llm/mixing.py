@@ -84,7 +84,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
     total = docs.count()
     ident = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     text = lambda *more: F.md5(F.concat(ident, F.lit(":" + seed), *more).cast("binary"))
-    digits = next(k for k in range(1, 16) if 16**k * BUCKET >= total)
+    digits = next(k for k in range(2, 16) if 16**k * BUCKET >= total)
     rows = docs.withColumn("_lx_skey", F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col("source").cast("string"))))
     # fewer than 512 ids, whatever the data
     shared = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter(F.col("n") * 512 > max(total, 8 * BUCKET)).select(F.col("doc_id").alias("_lx_hot"))
