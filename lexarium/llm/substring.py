@@ -16,8 +16,13 @@ third of all documents share costs rows in proportion to its copies.
 
 Cases: a null or blank text has no words and stays empty; shorter texts have no
 window; repeated rows repeat each other's windows; empty tables give empty
-tables; further columns are ignored.  Rows are told apart by doc_id and a key of
+tables; further columns are ignored; very long texts are taken whole; ties can't arise, since
+all places of a repeated window count.  Rows are told apart by doc_id and a key of
 doc_id and text; equal rows get the same (full) verdict, gathered once.
+
+Words are compared by hashes: XXH64 of words, 64-bit polynomials over those for anchors and
+for windows or territories.  Different windows pass as equal only if both the anchor's and
+the window's agree: 2^-64 a pair around the same anchor, 2^-128 otherwise.
 """
 
 from __future__ import annotations
@@ -31,7 +36,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import mix64, row_key, stash, text_bytes, tidy, unstash
+from .shared import join_counted, mix64, row_key, stash, text_bytes, tidy, unstash
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -162,17 +167,17 @@ def repeats(docs: DataFrame, length: int = 35, gram: int = 6) -> DataFrame:
     # one row for each distinct territory of an anchor that occurs more than once
     shared = stash(groups.join(several, "fp").select("fp", "th", "n", "kinds", "rep.*"), "shared")
     # whole territories are settled first, so that their table and shuffles are gone before windows are made
-    whole = stash(t.join(shared.filter("n > 1").select("fp", "th"), ["fp", "th"]).select("doc_id", "rk", "start", (F.col("start") + F.col("windows") + (length - 1)).alias("end")), "whole")
+    whole = stash(join_counted(t, shared.filter("n > 1").select("fp", "th", "n"), ["fp", "th"], "n").select("doc_id", "rk", "start", (F.col("start") + F.col("windows") + (length - 1)).alias("end")), "whole")
     unstash(t)
     tidy(docs.sparkSession)
     reps = shared.filter("kinds > 1").select("doc_id", "rk", "fp", "start", "windows", F.least(F.col("n"), F.lit(2)).cast("int").alias("copies"))
     single = stash(windows_of(docs, reps, length), "windows")
     tidy(docs.sparkSession)
-    met = single.groupBy("fp", "wh").agg(F.sum("copies").alias("c")).filter("c > 1").select("fp", "wh")
-    part = single.filter("copies = 1").join(met, ["fp", "wh"]).select("doc_id", "rk", "start", (F.col("start") + length).alias("end"))
+    met = stash(single.groupBy("fp", "wh").agg(F.sum("copies").alias("c"), F.count("*").alias("n")).filter("c > 1").select("fp", "wh", "n"), "windows-met")
+    part = join_counted(single, met, ["fp", "wh"], "n").filter("copies = 1").select("doc_id", "rk", "start", (F.col("start") + length).alias("end"))
     spans = whole.union(part).groupBy("doc_id", "rk").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     out = stash(spans, "spans")
-    unstash(shared, single, whole)
+    unstash(shared, single, whole, met)
     tidy(docs.sparkSession)
     return out
 
