@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -34,16 +35,35 @@ def similar_words(a: str, b: str) -> bool:
     return ratio(a, b, 0.75) >= 0.75
 
 
-def title_score(head: list[str], title: list[str], head_numbers: list[int], title_numbers: list[int], alike: float = 0.82) -> float:
-    """Fuzzy recall, precision and order of a heading's tokens against a title's, less for differing numbers."""
-    if not head or not title:
+#: How closing words name a part when the heading doesn't (fixed value).
+PART = re.compile(r"(first|second|third|1|2|3)\s+part")
+
+
+def part_number(closing: str) -> list[int]:
+    """The part that a unit's closing words name, for units whose headings have no number."""
+    found = PART.search(closing.lower().replace("ſ", "s"))
+    words = {"first": 1, "second": 2, "third": 3}
+    return [words.get(found[1]) or int(found[1])] if found else []
+
+
+def title_score(head: list[str], title: list[str], head_numbers: list[int], title_numbers: list[int], alike: float = 0.82, closing: str = "") -> float:
+    """Fuzzy recall, precision and order of a heading's tokens against a title's, less where the title's numbers differ or are missing.
+
+    Tokens count once, and each answers for one of the other side at most.
+    """
+    a, b = list(dict.fromkeys(head)), list(dict.fromkeys(title))
+    if not a or not b:
         return 0.0
-    hit = lambda w, others: any(w == o or ratio(w, o, alike) >= alike for o in others)
-    recall = sum(hit(w, head) for w in title) / len(title)
-    precision = sum(hit(w, title) for w in head) / len(head)
-    s = 0.5 * recall + 0.25 * precision + 0.25 * ratio(" ".join(head), " ".join(title))
-    if head_numbers and title_numbers and set(head_numbers) != set(title_numbers):
-        s *= 0.3
-    elif bool(head_numbers) != bool(title_numbers):
+    left, hits = list(a), 0
+    for w in b:
+        found = next((x for x in left if x == w or ratio(x, w, alike) >= alike), None)
+        if found is not None:
+            left.remove(found)
+            hits += 1
+    s = 0.5 * hits / len(b) + 0.25 * hits / len(a) + 0.25 * ratio(" ".join(a), " ".join(b))
+    numbers = head_numbers or part_number(closing)
+    if title_numbers and not numbers:
         s *= 0.85
-    return s
+    elif not set(title_numbers) <= set(numbers):
+        s *= 0.3
+    return min(s, 1.0)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
@@ -39,20 +40,27 @@ def modern_spelling(c: Column) -> Column:
     return F.regexp_replace(c, r"\bVv", "W")
 
 
+#: Ordinal and cardinal words, the old spellings among them (fixed values), and roman numerals.
+ORDINALS = {
+    "first": 1, "firste": 1, "second": 2, "seconde": 2, "third": 3, "thirde": 3, "thyrd": 3, "fourth": 4, "fourthe": 4, "fovrth": 4, "fifth": 5, "fift": 5, "fifte": 5, "sixth": 6, "sixt": 6, "sixte": 6,
+    "seventh": 7, "seuenth": 7, "eighth": 8, "eight": 8, "eyghth": 8, "ninth": 9, "ninthe": 9, "tenth": 10, "tenthe": 10, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "nine": 9, "ten": 10,
+}
+ROMANS = {"iiii": 4} | {tens + ones: 10 * k + n for k, tens in enumerate(("", "x")) for n, ones in enumerate(("", "i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix")) if tens + ones} | {"xx": 20}
+
+
 def title_key(c: Column, stop: Sequence[str]) -> Column:
-    """Tokens of a title with spelling variants folded: letters mapped, doubled letters squeezed, short and stop words gone."""
+    """Tokens of a title with spelling variants folded: letters mapped, doubled letters squeezed; short words, stop words and names of numbers gone."""
     c = F.lower(c)
-    for a, b in (("ſ", "s"), ("vv", "w"), ("æ", "e"), ("œ", "e")):
+    for a, b in (("ſ", "s"), ("vv", "w"), ("æ", "ae"), ("œ", "oe")):
         c = F.replace(c, F.lit(a), F.lit(b))
     tokens = F.regexp_extract_all(c, F.lit("[a-z]+"), F.lit(0))
     fold = lambda w: F.regexp_replace(F.regexp_replace(F.translate(w, "vjy", "uii"), "ie$", "i"), r"(.)\1+", "$1")
-    return F.filter(F.transform(F.filter(tokens, lambda w: ~w.isin(*stop)), fold), lambda w: F.length(w) > 2)
+    return F.filter(F.transform(F.filter(tokens, lambda w: ~w.isin(*stop, *ORDINALS, *(r for r in ROMANS if len(r) > 1), "v", "x")), fold), lambda w: F.length(w) > 2)
 
 
-def number_signature(c: Column, ordinals: dict[str, int]) -> Column:
-    """Numbers named in a title: digits, roman numerals up to xx, and ordinals."""
-    roman = {"i": 1, "ii": 2, "iii": 3, "iv": 4, "v": 5, "vi": 6, "vii": 7, "viii": 8, "ix": 9, "x": 10, "xi": 11, "xii": 12}
-    table = F.create_map(*(F.lit(x) for kv in (ordinals | roman).items() for x in kv))
+def number_signature(c: Column, ordinals: dict[str, int] | None = None) -> Column:
+    """Numbers named in a title: digits, roman numerals up to xx, and ordinals (``ORDINALS`` unless others are given)."""
+    table = F.create_map(*(F.lit(x) for kv in ((ORDINALS if ordinals is None else ordinals) | ROMANS).items() for x in kv))
     tokens = F.regexp_extract_all(F.lower(c), F.lit("[a-z]+|[0-9]+"), F.lit(0))
     return F.filter(F.transform(tokens, lambda w: F.coalesce(F.try_element_at(table, w), w.try_cast("int"))), lambda n: n.isNotNull())
 
@@ -103,7 +111,7 @@ def escape_html(c: Column) -> Column:
 
 def highlight(c: Column, keywords: Sequence[str]) -> Column:
     """Escaped text with the keywords marked, whatever their case."""
-    return F.regexp_replace(escape_html(c), "(?i)\\b(" + "|".join(keywords) + ")\\b", "<mark>$1</mark>")
+    return F.regexp_replace(escape_html(c), "(?i)\\b(" + "|".join(map(re.escape, keywords)) + ")\\b", "<mark>$1</mark>")
 
 
 def ordinal(c: Column) -> Column:

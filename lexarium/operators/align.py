@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from difflib import SequenceMatcher
+from heapq import heapify, heappop, heappush
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -88,23 +90,36 @@ def align_documents(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return left.groupBy(key).cogroup(_apart(right).groupBy(key)).applyInPandas(run, f"{key} long, line_a long, line_b long, kind string, coverage double")
 
 
-def assign_titles(heads: list[tuple[int, list[str], list[int]]], titles: list[tuple[int, list[str], list[int]]], least: float = 0.3, margin: float = 0.05) -> list[tuple[int, int, float, str]]:
-    """One-to-one pairs by falling score; a unit whose two best titles score alike waits, and few leftovers pair in order."""
-    score = {(h[0], t[0]): title_score(h[1], t[1], h[2], t[2]) for h in heads for t in titles}
-    out, used_h, used_t = [], set(), set()
-    for (h, t), s in sorted(score.items(), key=lambda x: (-x[1], x[0])):
-        if s < least or h in used_h or t in used_t:
+def assign_titles(heads: list[tuple], titles: list[tuple], least: float = 0.3, margin: float = 0.05, by_order: int = 3) -> list[tuple[int, int, float, str]]:
+    """One-to-one pairs of units (id, tokens, numbers) and titles (id, tokens, numbers), both in document order.
+
+    Each unit ranks the titles.  The unit whose best free title scores highest is settled
+    first: it takes that title, unless another free one scores within ``margin``; then the unit
+    is a tie, reported with its best title, and takes none.  If as many units as titles are left, ``by_order``
+    of them at most, they pair in document order.
+    """
+    wish = {h[0]: sorted((-title_score(h[1], t[1], h[2], t[2]), t[0]) for t in titles) for h in heads}
+    free = {t[0] for t in titles}
+    turn = [(w[0][0], h) for h, w in wish.items() if w]
+    heapify(turn)
+    out, settled = [], set()
+    while turn:
+        s, h = heappop(turn)
+        open_ = [x for x in wish[h] if x[1] in free]
+        if not open_ or -open_[0][0] < least:
             continue
-        rival = max((v for (x, y), v in score.items() if x == h and y != t and y not in used_t), default=0.0)
-        if s - rival < margin:
+        if open_[0][0] != s:  # its title went to another unit meanwhile
+            heappush(turn, (open_[0][0], h))
             continue
-        out.append((h, t, s, "title"))
-        used_h.add(h)
-        used_t.add(t)
-    rest_h = sorted(h[0] for h in heads if h[0] not in used_h)
-    rest_t = sorted(t[0] for t in titles if t[0] not in used_t)
-    if 0 < len(rest_h) == len(rest_t) <= 3:
-        out += [(h, t, score[h, t], "order") for h, t in zip(rest_h, rest_t)]
+        tied = len(open_) > 1 and open_[1][0] <= s + margin
+        out.append((h, open_[0][1], -s, "tie" if tied else "title"))
+        settled.add(h)
+        if not tied:
+            free.discard(open_[0][1])
+    rest = [h[0] for h in heads if h[0] not in settled]
+    if len(rest) == len(free) <= by_order:
+        score = {(h, t): -s for h in rest for s, t in wish[h]}
+        out += [(h, t, score[h, t], "order") for h, t in zip(rest, [t[0] for t in titles if t[0] in free])]
     return out
 
 
@@ -123,18 +138,9 @@ def assign(units: DataFrame, titles: DataFrame, key: str) -> DataFrame:
 
 def parse_names(text: str, own: set[str], every: set[str]) -> list[str]:
     """Names of a run-together field: at each place the longest name that fits, own names before all."""
-    out, at = [], 0
-    while at < len(text):
-        for names in (own, every):
-            hit = max((n for n in names if n and text.startswith(n, at)), key=len, default=None)
-            if hit:
-                break
-        if hit is None:
-            at += 1
-            continue
-        out.append(hit)
-        at += len(hit)
-    return out
+    ranks = [sorted((n for n in names if n), key=len, reverse=True) for names in (own, every - own)]
+    either = re.compile("|".join(re.escape(n) for names in ranks for n in names) or r"(?!)")
+    return either.findall(text or "")
 
 
 def similar_pairs(df: DataFrame, left: str, right: str) -> DataFrame:

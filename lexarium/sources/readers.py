@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 
@@ -36,7 +38,11 @@ def read_ragged(spark: SparkSession, path: str, columns: list[str], anchor: str,
     """
     at, n = columns.index(anchor), len(columns)
     lines = spark.read.text(path).filter(F.length(F.trim("value")) > 0)
-    cells = lines.select(F.split("value", sep, -1).alias("c")).filter(F.trim(F.col("c")[0]) != columns[0])
+    # cells end at a separator; one in quotes may hold it, and doubled quotes
+    mark = re.escape(sep)
+    raw = F.regexp_extract_all(F.concat(F.regexp_replace("value", "^\ufeff", ""), F.lit(sep)), F.lit(f'("(?:[^"]|"")*"|.*?){mark}'), F.lit(1))
+    bare = F.transform(raw, lambda x: F.when(x.rlike('^".*"$') & (F.length(x) > 1), F.replace(F.substr(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x))
+    cells = lines.select(bare.alias("c")).filter(F.col("c") != F.array(*map(F.lit, columns)))  # the header alone goes
     surplus = F.size("c") - n
     pad = F.concat("c", F.array_repeat(F.lit(""), F.greatest(-surplus, F.lit(0)).cast("int")))
     # the fields before the anchor that were torn apart are joined again
@@ -52,6 +58,23 @@ def read_lines(spark: SparkSession, glob: str) -> DataFrame:
     return whole.select("file", F.posexplode(F.split("value", "\n")).alias("line_no", "text"))
 
 
+def in_file_order(lines: DataFrame) -> DataFrame:
+    """Lines sorted by the number that the file's name is, then by name, then by line."""
+    stem = F.regexp_extract("file", r"^(\d+)\.[^.]*$", 1).try_cast("long")
+    return lines.orderBy(stem.asc_nulls_last(), "file", "line_no")
+
+
+def read_json(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """JSON documents that may span lines; fields that a document lacks are null."""
+    reader = spark.read.option("multiLine", True).option("mode", "FAILFAST")
+    return (reader.schema(schema) if schema else reader).json(path)
+
+
+def smoke(df: DataFrame, key: str, n: int | None) -> DataFrame:
+    """The ``n`` first rows by key for a trial run; all rows where none is given."""
+    return df if n is None else df.orderBy(key).limit(n)
+
+
 def paired_lines(a: DataFrame, b: DataFrame) -> DataFrame:
     """Lines of two views of the same files; a line without a twin raises an error."""
     both = a.withColumnRenamed("text", "text_a").join(b.withColumnRenamed("text", "text_b"), ["file", "line_no"], "full")
@@ -62,7 +85,8 @@ def paired_lines(a: DataFrame, b: DataFrame) -> DataFrame:
 def header_probe(spark: SparkSession, glob: str, patterns: dict[str, str], head: int = 60_000) -> DataFrame:
     """First match of each pattern in the first bytes of the files."""
     files = spark.read.format("binaryFile").load(glob)
-    text = F.decode(F.substring("content", 1, head), "UTF-8")
+    # the cut may split a character, which is then replaced
+    text = F.make_valid_utf8(F.substring("content", 1, head).cast("string"))
     return files.select("path", *(F.nullif(F.regexp_extract(text, p, 1), F.lit("")).alias(n) for n, p in patterns.items()))
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -15,9 +17,34 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").json(path)
 
 
-def write_partitioned(df: DataFrame, path: str, by: Sequence[str]) -> None:
-    """One folder for each combination of ``by``; rows meet their folder's writer before, so files stay few."""
-    df.repartition(*by).write.mode("errorifexists").partitionBy(*by).parquet(path)
+def write_partitioned(df: DataFrame, path: str, by: Sequence[str], rows: int = 2_000_000) -> None:
+    """One folder for each combination of ``by``; rows meet their folder's writer before, so files stay few.
+
+    A folder of more than about ``rows`` rows has several writers, so a hot value is no single task.
+    """
+    # at most one row for each ``rows`` rows of the table
+    big = df.groupBy(*(F.col(c).alias(f"_k_{c}") for c in by)).agg(F.count("*").alias("_n")).filter(F.col("_n") > rows)
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in by))
+    spread = df.join(big, same, "left").select(*df.columns, F.floor(F.rand(1) * F.ceil(F.coalesce("_n", F.lit(1)) / rows)).alias("_lx_part"))
+    spread.repartition(*by, "_lx_part").drop("_lx_part").write.mode("errorifexists").partitionBy(*by).parquet(path)
+
+
+def write_sheets(sheets: dict[str, DataFrame], path: str) -> None:
+    """A workbook as a folder: one delimited file of rows for each sheet."""
+    for name, df in sheets.items():
+        write_csv(df, f"{path}/{name}")
+
+
+def freeze(spark: SparkSession, folder: str, names: Sequence[str], path: str) -> None:
+    """Copy some results of a folder to a new one that is never written again."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    conf = spark._jsc.hadoopConfiguration()
+    target = fs.Path(path)
+    if target.getFileSystem(conf).exists(target):
+        raise FileExistsError(path)
+    for name in names:
+        source, copy = fs.Path(f"{folder}/{name}"), fs.Path(f"{path}/{name}")
+        fs.FileUtil.copy(source.getFileSystem(conf), source, copy.getFileSystem(conf), copy, False, conf)
 
 
 def documents(lines: DataFrame, key: str, order: str, text: str) -> DataFrame:

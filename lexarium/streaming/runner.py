@@ -32,7 +32,27 @@ def running_pairs(stream: DataFrame) -> DataFrame:
 
 
 def run_to_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "append"):
-    """Process what is there, then stop; the checkpoint makes a rerun take only new files."""
+    """Process what is there into a table in memory, then stop: for looking at small streams."""
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return q
+
+
+def run_to_files(stream: DataFrame, folder: str, checkpoint: str) -> None:
+    """Process what is there into Parquet files, exactly once: the sink's log and the checkpoint make a rerun take only new input."""
+    stream.writeStream.format("parquet").outputMode("append").option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def run_updates(stream: DataFrame, folder: str, checkpoint: str) -> None:
+    """Process what is there, one folder of updated rows for each batch; a batch that is run again replaces its own."""
+
+    def put(rows: DataFrame, batch: int) -> None:
+        rows.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").parquet(f"{folder}/n{batch:09d}")
+
+    stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+
+
+def latest(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
+    """The last update of each key of a folder that ``run_updates`` filled."""
+    rows = spark.read.parquet(f"{folder}/*")
+    return rows.groupBy(*keys).agg(*(F.max_by(c, "batch").alias(c) for c in rows.columns if c not in (*keys, "batch")))
