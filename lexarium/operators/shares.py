@@ -53,38 +53,59 @@ def adjust(df: DataFrame, p: str, keys: Sequence[str] = ()) -> DataFrame:
     return df.withColumn("q", F.least(F.lit(1.0), F.min(F.col(p) * F.col("_n") / F.col("_rank")).over(up))).drop("_rank", "_n")
 
 
-def mean_ranks(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Add rank_mean (ties share their mean rank), n_tie and n of each group."""
-    every = W.partitionBy(*keys)
-    tie = W.partitionBy(*keys, value)
-    low = F.rank().over(every.orderBy(value))
-    return df.withColumn("_low", low).withColumn("n_tie", F.count("*").over(tie)).withColumn("rank_mean", F.col("_low") + (F.col("n_tie") - 1) / 2).withColumn("n", F.count("*").over(every)).drop("_low")
+def value_ranks(df: DataFrame, value: str, keys: Sequence[str] = (), parts: int = 4096) -> DataFrame:
+    """Each distinct value of each group once: rank_low, rank_mean (of rows that share it), n_tie and n of the group.
+
+    No group is sorted in one task: values are counted, dealt to ranges of equal width between
+    a group's ends, and counts of the ranges before are added (two-level prefix sums).  Nulls are left out.
+    """
+    keys = list(keys)
+    x = F.col(value).cast("double")
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n_tie"))
+    ends = counts.groupBy(*keys).agg(F.min(x).alias("_min"), F.max(x).alias("_max"), F.sum("n_tie").alias("n"))
+    both = counts.join(ends, keys) if keys else counts.crossJoin(F.broadcast(ends))  # one row
+    # rises with the value; one range where all are equal
+    spot = F.when(F.col("_max") > F.col("_min"), F.floor((x - F.col("_min")) / (F.col("_max") - F.col("_min")) * (parts - 1))).otherwise(0).cast("int")
+    ranged = both.withColumn("_part", spot)
+    sums = ranged.groupBy(*keys, "_part").agg(F.sum("n_tie").alias("_s"))
+    start = sums.select(*keys, "_part", F.coalesce(F.sum("_s").over(W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    within = W.partitionBy(*keys, "_part").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+    low = F.col("_start") + F.coalesce(F.sum("n_tie").over(within), F.lit(0)) + 1
+    return ranged.join(start, [*keys, "_part"]).select(*keys, value, low.alias("rank_low"), (low + (F.col("n_tie") - 1) / 2).alias("rank_mean"), "n_tie", "n")
+
+
+def _ties(ranks: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """t, the sum of t^3 - t over ties, and n of each group."""
+    t = F.col("n_tie").cast("double")
+    return ranks.groupBy(*keys).agg(F.sum(t * t * t - t).alias("t"), F.max("n").alias("n"))
 
 
 def kruskal(df: DataFrame, value: str, group: str, keys: Sequence[str]) -> DataFrame:
     """Kruskal-Wallis H with tie correction, for each key; null if all values are equal."""
-    r = mean_ranks(df, value, keys)
-    by = r.groupBy(*keys, group).agg(F.sum("rank_mean").alias("r"), F.count("*").alias("m"), F.max("n").alias("n"))
-    h = by.groupBy(*keys).agg((12 / (F.max("n") * (F.max("n") + 1)) * F.sum(F.col("r") * F.col("r") / F.col("m")) - 3 * (F.max("n") + 1)).alias("raw"), F.count("*").alias("groups"), F.max("n").alias("n"))
-    # the sum over ties of t^3 - t is the sum over rows of t^2 - 1
-    ties = r.groupBy(*keys).agg((1 - F.sum(F.col("n_tie") * F.col("n_tie") - 1) / (F.pow(F.max("n"), F.lit(3)) - F.max("n"))).alias("c"))
-    return h.join(ties, list(keys)).select(*keys, "n", "groups", F.when(F.col("c") > 0, F.col("raw") / F.col("c")).alias("h"))
+    ranks = value_ranks(df, value, keys)
+    m = df.groupBy(*keys, value, group).agg(F.count("*").alias("m"))
+    by = m.join(ranks, [*keys, value]).groupBy(*keys, group).agg(F.sum(F.col("rank_mean") * F.col("m")).alias("r"), F.sum("m").alias("m"), F.max("n").alias("n"))
+    h = by.groupBy(*keys).agg((12 / (F.max("n") * (F.max("n") + 1)) * F.sum(F.col("r") * F.col("r") / F.col("m")) - 3 * (F.max("n") + 1)).alias("raw"), F.count("*").alias("groups"))
+    c = 1 - F.col("t") / (F.pow("n", F.lit(3)) - F.col("n"))
+    return h.join(_ties(ranks, keys), list(keys)).select(*keys, "n", "groups", F.when(c > 0, F.col("raw") / c).alias("h"))
 
 
 def mann_whitney(df: DataFrame, value: str, is_first: Column, keys: Sequence[str]) -> DataFrame:
     """U of the rows marked as first against the others, with the z score of the normal approximation."""
-    r = mean_ranks(df.withColumn("_a", is_first), value, keys)
-    u = r.groupBy(*keys).agg(F.sum(F.when(F.col("_a"), F.col("rank_mean"))).alias("ra"), F.count_if(F.col("_a")).alias("n1"), F.count_if(~F.col("_a")).alias("n2"), F.sum(F.col("n_tie") * F.col("n_tie") - 1).alias("t"))
+    ranks = value_ranks(df, value, keys)
+    m = df.withColumn("_a", is_first).groupBy(*keys, value).agg(F.count_if(F.col("_a")).alias("a"), F.count_if(~F.col("_a")).alias("b"))
+    u = m.join(ranks, [*keys, value]).groupBy(*keys).agg(F.sum(F.when(F.col("a") > 0, F.col("rank_mean") * F.col("a"))).alias("ra"), F.sum("a").alias("n1"), F.sum("b").alias("n2"))
+    u = u.join(_ties(ranks, keys).drop("n"), list(keys))
     n = F.col("n1") + F.col("n2")
     u = u.withColumn("u", F.col("ra") - F.col("n1") * (F.col("n1") + 1) / 2)
     var = F.col("n1") * F.col("n2") / 12 * ((n + 1) - F.col("t") / (n * (n - 1)))
     return u.select(*keys, "n1", "n2", "u", F.when(var > 0, (F.col("u") - F.col("n1") * F.col("n2") / 2) / F.sqrt(var)).alias("z"))
 
 
-def percent_below(value: str, keys: Sequence[str]) -> Column:
-    """Share in percent of the group's values that are strictly less."""
-    w = W.partitionBy(*keys)
-    return (F.rank().over(w.orderBy(value)) - 1) / F.count("*").over(w) * 100
+def percent_below(df: DataFrame, value: str, keys: Sequence[str], name: str) -> DataFrame:
+    """Add the share in percent of the group's values that are strictly less."""
+    ranks = value_ranks(df, value, keys).select(*keys, value, ((F.col("rank_low") - 1) / F.col("n") * 100).alias(name))
+    return df.join(ranks, [*keys, value], "left")
 
 
 def top_with_rest(df: DataFrame, keys: Sequence[str], topic: str, share: str, n: int, rest: str = "other") -> DataFrame:

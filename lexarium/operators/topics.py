@@ -90,3 +90,18 @@ def cosine_kmeans(vectors: DataFrame, vector: str, k: int, seed: int = 42, colum
     data = vectors.select(*columns, array_to_vector(F.transform(vector, lambda x: x.cast("double"))).alias("features"))
     model = KMeans(k=k, seed=seed, distanceMeasure="cosine", maxIter=20).fit(data)
     return model.transform(data).select(*columns, F.col("prediction").cast("long").alias("topic"))
+
+
+def plane(distances: np.ndarray) -> np.ndarray:
+    """Classical scaling: points of the plane whose distances come closest to those given (a small symmetric matrix).
+
+    The greater coordinate of each axis is positive, so the map does not depend on signs of eigenvectors.
+    """
+    n = len(distances)
+    centre = np.eye(n) - 1 / n if n else np.zeros((0, 0))
+    values, vectors = np.linalg.eigh(-0.5 * centre @ (np.asarray(distances, float) ** 2) @ centre)
+    out = np.zeros((n, 2))
+    for axis, k in enumerate(np.argsort(values)[::-1][:2]):
+        x = vectors[:, k] * np.sqrt(max(values[k], 0.0))
+        out[:, axis] = x * (1 if not n or x[np.abs(x).argmax()] >= 0 else -1)
+    return out

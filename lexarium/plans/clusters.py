@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window as W, functions as F
 
 from ..functions.stats import cosine
@@ -135,3 +136,13 @@ def mmr_members(spark, sf):
     s = similarities(spark, sf).filter("own = topic")
     top = s.withColumn("k", F.row_number().over(W.partitionBy("topic").orderBy(F.desc("s"), "vec_id"))).filter("k <= 30").select("topic", "vec_id")
     return T.diverse_members(top.join(vectors(spark, sf).select("vec_id", "embedding"), "vec_id"), "topic", "vec_id", "embedding", 5)
+
+
+@query()
+def topic_map(spark, sf):
+    """Topics as points of a plane, by the cosine distances of their centroids (a reviewed dimension, so small)."""
+    c = T.centroids(vectors(spark, sf), "topic", "embedding").groupBy("topic").agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "mean"))), lambda x: x["mean"]).alias("c")).orderBy("topic").toPandas()
+    x = np.array(c["c"].tolist(), float).reshape(len(c), -1)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    at = T.plane(np.sqrt(np.maximum(2 - 2 * x @ x.T, 0)))
+    return spark.createDataFrame([(int(t), float(a), float(b)) for t, (a, b) in zip(c["topic"], at)], "topic long, x double, y double")

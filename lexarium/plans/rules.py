@@ -142,3 +142,26 @@ def identity_cascade(spark, sf):
     p = table(spark, sf, "part").select("p_partkey", "p_size").join(o, "p_partkey", "left").join(x, "p_partkey", "left")
     why = F.concat(F.lit("unmatched: "), F.when(F.col("p_size") > 25, "late").otherwise("other"))
     return p.select("p_partkey", F.when(F.col("o"), "override").when(F.col("x"), "exact").when(F.col("p_size") % 10 == 0, "ordinal").otherwise(why).alias("how"))
+
+
+@query("""SELECT 'order without customer' AS violation, count(*) AS n FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer) UNION ALL SELECT 'customer without order', count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)
+UNION ALL SELECT 'line given twice', count(*) FROM (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY ALL HAVING count(*) > 1) UNION ALL SELECT 'status not allowed', count(*) FROM orders WHERE o_orderstatus NOT IN ('F', 'O') UNION ALL SELECT 'line end in a text', count(*) FROM documents WHERE contains(text, chr(10))
+UNION ALL SELECT 'label without document', count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents) UNION ALL SELECT 'two primaries', count(*) FROM (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1 HAVING count(*) > 1)""")
+def integrity_report(spark, sf):
+    """All checks of a build in one table: keys that lead nowhere, keys given twice, values that are not allowed, texts that break the line contract."""
+    t = lambda name: table(spark, sf, name)
+    o = t("orders")
+    checks = [
+        ("order without customer", o.join(t("customer"), o.o_custkey == F.col("c_custkey"), "left_anti")),
+        ("customer without order", t("customer").join(o, F.col("c_custkey") == o.o_custkey, "left_anti")),
+        ("line given twice", t("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n")).filter("n > 1")),
+        ("status not allowed", o.filter(~F.col("o_orderstatus").isin("F", "O"))),
+        ("line end in a text", t("documents").filter(F.col("text").contains("\n"))),
+        ("label without document", t("labels").join(t("documents").select("doc_id"), "doc_id", "left_anti")),
+        ("two primaries", o.filter("o_orderpriority = '1-URGENT'").groupBy("o_custkey").agg(F.count("*").alias("n")).filter("n > 1")),
+    ]
+    parts = [df.agg(F.lit(name).alias("violation"), F.count("*").alias("n")) for name, df in checks]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.stats import chi2_tail_udf, jsd_term, normal_tail_udf
 from ..operators import shares as S
-from .registry import query, table
+from .registry import SQL, query, table
 
 
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
@@ -120,8 +120,8 @@ def rank_first_second_last(spark, sf):
 
 @query("""SELECT c_custkey, c_mktsegment, round((rank() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal) - 1) / count(*) OVER (PARTITION BY c_mktsegment) * 100, 6) AS pct FROM customer""")
 def percent_below_rank(spark, sf):
-    c = table(spark, sf, "customer")
-    return c.select("c_custkey", "c_mktsegment", F.round(S.percent_below("c_acctbal", ["c_mktsegment"]), 6).alias("pct"))
+    c = table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    return S.percent_below(c, "c_acctbal", ["c_mktsegment"], "pct").select("c_custkey", "c_mktsegment", F.round("pct", 6).alias("pct"))
 
 
 _P = "p AS (SELECT p_brand, p_partkey, 1 / (1 + abs(p_retailprice - 1000)) AS p FROM part)"
@@ -298,3 +298,22 @@ def two_side_overview(spark, sf):
     s = dense(spark, sf).groupBy("topic").agg(F.avg(F.when(F.col("genre") == "ASIA", F.col("share"))).alias("a"), F.avg(F.when(F.col("genre") == "AMERICA", F.col("share"))).alias("b")).withColumn("m", (F.col("a") + F.col("b")) / 2)
     top = s.orderBy(F.desc("m"), "topic").limit(10)  # the report's ten rows
     return top.select("topic", F.row_number().over(W.orderBy(F.desc("m"), "topic")).cast("long").alias("position"), F.round("a", 9).alias("mean_a"), F.round("b", 9).alias("mean_b"), F.round(F.sum("m").over(W.partitionBy()), 8).alias("top_sum"))
+
+
+@query(f"""WITH t AS ({SQL['topic_table']}), k AS ({SQL['kruskal_wallis_h']}), u AS ({SQL['mann_whitney_u']}), p AS (SELECT topic, h, exp(-h / 2) * (1 + h / 2) AS p FROM k WHERE groups = 5), r AS (SELECT *, row_number() OVER (ORDER BY p, topic) AS j, count(*) OVER () AS n FROM p)
+SELECT t.topic, mean_share, median_share, prevalence, single_work, r.h, round(p, 6) AS p, round(least(1.0, min(p * n / j) OVER (ORDER BY j DESC ROWS UNBOUNDED PRECEDING)), 6) AS q, u, z FROM t JOIN r ON t.topic = r.topic JOIN u ON t.topic = u.topic""")
+def topic_report(spark, sf):
+    """One table of topics: means, medians, prevalence, the test over groups with p and q, and one group's U test."""
+    h = S.kruskal(dense(spark, sf), "share", "genre", ["topic"]).withColumn("h", F.round("h", 6)).withColumn("p", chi2_tail_udf("h", F.col("groups") - 1))
+    q = S.adjust(h.select("topic", "h", "p"), "p").select("topic", "h", F.round("p", 6).alias("p"), F.round("q", 6).alias("q"))
+    return topic_table(spark, sf).join(q, "topic").join(mann_whitney_u(spark, sf).select("topic", "u", "z"), "topic")
+
+
+@query(f"""WITH n AS ({SQL['leave_one_out_nearest']}), r AS (SELECT *, rank() OVER (PARTITION BY own ORDER BY own_distance) AS k, count(own_distance) OVER (PARTITION BY own) AS m FROM n)
+SELECT work, own, nearest, round(own_distance - distance, 7) AS lean, CASE WHEN own_distance IS NOT NULL THEN round((k - 1) / m * 100, 5) END AS percentile, CASE WHEN nearest = own THEN 'own' WHEN own_distance - distance < 0.005 THEN 'near own' ELSE 'other' END AS reading FROM r""")
+def work_lean(spark, sf):
+    """How far each work leans from its group to the nearest one, and where its distance lies among its group's works."""
+    n = leave_one_out_nearest(spark, sf)
+    lean = F.col("own_distance") - F.col("distance")
+    reading = F.when(F.col("nearest") == F.col("own"), "own").when(lean < 0.005, "near own").otherwise("other")
+    return S.percent_below(n, "own_distance", ["own"], "pct").select("work", "own", "nearest", F.round(lean, 7).alias("lean"), F.round("pct", 5).alias("percentile"), reading.alias("reading"))

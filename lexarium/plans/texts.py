@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Window as W, functions as F
@@ -57,16 +58,20 @@ n AS (SELECT count(DISTINCT doc_id) AS n FROM w), d AS (SELECT w.doc_id, w.word,
 p AS (SELECT a.word AS word_a, b.word AS word_b, count(*) AS n_both, max(a.df) AS da, max(b.df) AS db FROM d a JOIN d b ON a.doc_id = b.doc_id AND a.word < b.word GROUP BY 1, 2)
 SELECT word_a, word_b, n_both, round(ln((n_both / n) / ((da / n) * (db / n))) / -ln(n_both / n), 7) AS npmi FROM p CROSS JOIN n WHERE n_both < n""")
 def npmi_pairs(spark, sf):
-    """How much twenty frequent words keep company in documents."""
-    w = documents(spark, sf).select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))).alias("word"))
-    top = w.groupBy("word").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "word").limit(40).withColumn("k", F.row_number().over(W.orderBy(F.desc("df"), "word"))).filter("k > 20").drop("k")
-    n = documents(spark, sf).filter(F.lower("text").rlike("[a-z]")).agg(F.countDistinct("doc_id").alias("n"))
+    """How much twenty frequent words keep company in documents: one pass counts words, one looks for the twenty."""
+    words = documents(spark, sf).select("doc_id", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("ws")).filter(F.size("ws") > 0)
+    # the empty word stands for the document, so it is counted along
+    top = words.select(F.explode(F.concat(F.array(F.lit("")), "ws")).alias("word")).groupBy("word").agg(F.count("*").alias("df")).orderBy(F.col("word") != "", F.desc("df"), "word").limit(41).collect()
+    n, df = top[0].df if top else 0, {r.word: r.df for r in top[21:]}
+    if not df:
+        return spark.createDataFrame([], "word_a string, word_b string, n_both long, npmi double")
+    held = words.select(F.array_sort(F.filter("ws", lambda w: w.isin(*df))).alias("h"))
     # twenty words a document at most, so pairs are bounded by document
-    held = w.join(F.broadcast(top), "word").groupBy("doc_id").agg(F.collect_list(F.struct("word", "df")).alias("h"))
-    pairs = held.select(F.explode(F.expr("filter(flatten(transform(h, a -> transform(h, b -> struct(a.word AS word_a, b.word AS word_b, a.df AS da, b.df AS db)))), p -> p.word_a < p.word_b)")).alias("p")).select("p.*")
-    g = pairs.groupBy("word_a", "word_b").agg(F.count("*").alias("n_both"), F.max("da").alias("da"), F.max("db").alias("db")).crossJoin(F.broadcast(n)).filter("n_both < n")
-    p12 = F.col("n_both") / F.col("n")
-    return g.select("word_a", "word_b", "n_both", F.round(F.ln(p12 / ((F.col("da") / F.col("n")) * (F.col("db") / F.col("n")))) / -F.ln(p12), 7).alias("npmi"))
+    pairs = held.select(F.explode(F.expr("filter(flatten(transform(h, a -> transform(h, b -> struct(a AS word_a, b AS word_b)))), p -> p.word_a < p.word_b)")).alias("p")).select("p.*")
+    g = pairs.groupBy("word_a", "word_b").agg(F.count("*").alias("n_both")).filter(F.col("n_both") < n)
+    count = F.create_map(*(F.lit(x) for kv in df.items() for x in kv))
+    p12, pa, pb = F.col("n_both") / n, count[F.col("word_a")] / n, count[F.col("word_b")] / n
+    return g.select("word_a", "word_b", "n_both", F.round(F.ln(p12 / (pa * pb)) / -F.ln(p12), 7).alias("npmi"))
 
 
 @query("""WITH w AS (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM documents), g AS (SELECT lower(w) AS word, count(*) AS n, count(*) FILTER (regexp_matches(w, '^[A-Z]')) AS cap FROM w GROUP BY 1)
@@ -174,6 +179,8 @@ def token_emission(spark, sf):
     return c.select("conv_id", X.emit_tokens(F.transform("t", lambda x: F.struct(x["surface"].alias("surface"), F.lit("none").alias("glue")))).alias("text"))
 
 
+#: Words of a dictionary that fits in an expression.
+SMALL = 10_000
 _NAMES = "m AS (SELECT list(DISTINCT lower(w)) AS names FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]{8,}')) AS w FROM benchmark))"
 
 
@@ -183,13 +190,46 @@ SELECT doc_id, sha1(string_agg(CASE WHEN hit THEN '[name]' ELSE w END, ' ' ORDER
 def mask_dictionary(spark, sf):
     """Words of a dictionary (long words of the benchmark items) masked in texts.
 
-    The dictionary is joined by key, so its size is free; words of a document meet again by its id.
+    A dictionary of ``SMALL`` words at most is a set inside the expression, so no text is
+    moved.  A larger one meets the distinct words of each text by key, and the hits meet the text again by its id.
     """
-    names = table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{8,}"), F.lit(0))).alias("w")).select(F.lower("w").alias("key"), F.lit(True).alias("hit")).distinct()
-    w = documents(spark, sf).select("doc_id", F.posexplode(F.split("text", " ")).alias("i", "w")).withColumn("key", F.regexp_replace(F.lower("w"), "[^a-z]", ""))
-    k = w.join(names, "key", "left").select("doc_id", F.struct("i", F.when(F.col("hit"), "[name]").otherwise(F.col("w")).alias("w")).alias("x"), F.coalesce("hit", F.lit(False)).alias("hit"))
-    g = k.groupBy("doc_id").agg(F.sort_array(F.collect_list("x")).alias("x"), F.count_if("hit").alias("n_masked"))
-    return g.select("doc_id", F.sha1(F.array_join(F.transform("x", lambda t: t["w"]), " ").cast("binary")).alias("sha1"), "n_masked")
+    names = table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{8,}"), F.lit(0))).alias("w")).select(F.lower("w").alias("key")).distinct()
+    d = documents(spark, sf).select("doc_id", F.split("text", " ").alias("ws"))
+    key = lambda w: F.regexp_replace(F.lower(w), "[^a-z]", "")
+    few = [r.key for r in names.limit(SMALL + 1).collect()]
+    if len(few) <= SMALL:
+        hit = lambda w: key(w).isin(*few) if few else F.lit(False)
+    else:
+        met = d.select("doc_id", F.explode(F.array_distinct(F.transform("ws", key))).alias("key")).join(names, "key").groupBy("doc_id").agg(F.collect_set("key").alias("met"))
+        d = d.join(met, "doc_id", "left").withColumn("met", F.coalesce("met", F.array().cast("array<string>")))
+        hit = lambda w: F.array_contains("met", key(w))
+    masked = F.transform("ws", lambda w: F.when(hit(w), "[name]").otherwise(w))
+    return d.select("doc_id", F.sha1(F.array_join(masked, " ").cast("binary")).alias("sha1"), F.size(F.filter("ws", hit)).cast("long").alias("n_masked"))
+
+
+_GROUP_NAMES = """cast_names AS (SELECT DISTINCT 'src' || (item_id % 20) AS source, lower(w) AS w FROM (SELECT item_id, unnest(regexp_extract_all(text, '[A-Za-z]{5,}')) AS w FROM benchmark)),
+common AS (SELECT w FROM (SELECT unnest(regexp_extract_all(text, '[a-z]+')) AS w FROM documents) GROUP BY w HAVING count(*) >= 400),
+keep(w) AS (VALUES ('thation'), ('onthe')), extra(source, w) AS (VALUES ('src1', 'and'), ('src2', 'the')),
+names AS (SELECT source, w FROM cast_names WHERE w NOT IN (SELECT w FROM common) AND w NOT IN (SELECT w FROM keep) UNION SELECT source, w FROM extra)"""
+
+
+@query(f"""WITH {_GROUP_NAMES}, w AS (SELECT doc_id, source, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS i FROM documents),
+k AS (SELECT doc_id, i, w.w, n.w IS NOT NULL AS hit FROM w LEFT JOIN names n ON w.source = n.source AND n.w = regexp_replace(regexp_replace(lower(w.w), '[^a-z]', '', 'g'), '([a-z]{{5,}})s$', '\1'))
+SELECT doc_id, sha1(string_agg(CASE WHEN hit THEN '[name]' ELSE w END, ' ' ORDER BY i)) AS sha1, count(*) FILTER (hit) AS n_masked FROM k GROUP BY doc_id""")
+def mask_by_group(spark, sf):
+    """Names masked in the texts of their own group: genitives and plurals too, words that are common in the corpus protected, overrides on top.
+
+    A group's names are a cast list, so they ride beside its texts as one array.
+    """
+    keep, extra = ["thation", "onthe"], [("src1", "and"), ("src2", "the")]
+    d = documents(spark, sf)
+    common = d.select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0))).alias("w")).groupBy("w").agg(F.count("*").alias("n")).filter("n >= 400")
+    cast = table(spark, sf, "benchmark").select(F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("source"), F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{5,}"), F.lit(0))).alias("w")).select("source", F.lower("w").alias("w")).distinct()
+    names = cast.filter(~F.col("w").isin(*keep)).join(common.select("w"), "w", "left_anti").select("source", "w").union(spark.createDataFrame(extra, "source string, w string")).groupBy("source").agg(F.collect_set("w").alias("names"))
+    key = lambda w: F.regexp_replace(F.regexp_replace(F.lower(w), "[^a-z]", ""), "([a-z]{5,})s$", "$1")
+    hit = lambda w: F.coalesce(F.array_contains("names", key(w)), F.lit(False))
+    t = d.select("doc_id", "source", F.split("text", " ").alias("ws")).join(names, "source", "left")
+    return t.select("doc_id", F.sha1(F.array_join(F.transform("ws", lambda w: F.when(hit(w), "[name]").otherwise(w)), " ").cast("binary")).alias("sha1"), F.size(F.filter("ws", hit)).cast("long").alias("n_masked"))
 
 
 @query("""SELECT doc_id, CASE WHEN a IS NULL THEN 'added' WHEN b IS NULL THEN 'removed' ELSE 'changed' END AS change FROM (SELECT coalesce(x.doc_id, y.doc_id) AS doc_id, x.h AS a, y.h AS b FROM (SELECT doc_id, sha1(text) AS h FROM documents WHERE source <> 'src7') x FULL JOIN (SELECT doc_id, sha1(regexp_replace(text, '[#$%&*]', '', 'g')) AS h FROM documents WHERE source <> 'src11') y ON x.doc_id = y.doc_id) WHERE a IS DISTINCT FROM b""")
@@ -235,31 +275,50 @@ def title_assign(spark, sf):
 
 @query()
 def name_parse(spark, sf):
-    """Names in run-together fields, the longest that fits at each place."""
+    """Names in run-together fields: at each place the longest that fits, a region's own names before those of all."""
     n = table(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey")
-    run_together = n.groupBy("n_regionkey").agg(F.array_join(F.sort_array(F.collect_list("n_name")), "").alias("field"), F.sort_array(F.collect_list("n_name")).alias("own"))
-
-    @F.udf("array<string>")
-    def parse(field, own):
-        return align.parse_names(field, set(own), set(own))
-
-    return run_together.select("n_regionkey", parse("field", "own").alias("names"))
+    fields = n.groupBy((F.col("n_nationkey") % 5).alias("field_id")).agg(F.array_join(F.sort_array(F.collect_list("n_name")), "").alias("field"))
+    own = n.groupBy(F.col("n_regionkey").cast("long").alias("field_id")).agg(F.collect_list("n_name").alias("own"))
+    every = n.agg(F.collect_set("n_name").alias("every"))  # one row: the dictionary of names
+
+    @F.pandas_udf("array<string>")
+    def parse(field: pd.Series, own: pd.Series, every: pd.Series) -> pd.Series:
+        return pd.Series([align.parse_names(f, set(o if o is not None else ()), set(e)) for f, o, e in zip(field, own, every)])
+
+    return fields.withColumn("field_id", F.col("field_id").cast("long")).join(own, "field_id", "left").crossJoin(F.broadcast(every)).select("field_id", parse("field", "own", "every").alias("names"))
+
+
+def dense_windows(text: str, keywords: re.Pattern, half: int, most: int) -> list[tuple[int, int]]:
+    """(start, distinct keywords) of windows around hits that don't overlap, those with most distinct keywords first, then the earliest."""
+    hits = [(m.start(), m.group(0).lower()) for m in keywords.finditer(text)]
+    inside: Counter = Counter()
+    first = last = 0
+    windows = []
+    for at, _ in hits:
+        while last < len(hits) and hits[last][0] < at + half:
+            inside[hits[last][1]] += 1
+            last += 1
+        while hits[first][0] < max(0, at - half):
+            inside[hits[first][1]] -= 1
+            first += 1
+        windows.append((-sum(c > 0 for c in inside.values()), max(0, at - half), min(len(text), at + half)))
+    out: list[tuple[int, int, int]] = []
+    for w in sorted(windows):
+        if len(out) == most:
+            break
+        if all(w[2] <= lo or w[1] >= hi for _, lo, hi in out):
+            out.append(w)
+    return [(lo, -score) for score, lo, _ in out]
 
 
 @query()
 def densest_excerpts(spark, sf):
-    """Two windows of a text, apart from each other, that hold most keyword hits."""
+    """Two windows of a text, apart from each other, that hold most distinct keywords."""
+    words = r"\b(the|and|der|que|les)\b"
+
     @F.pandas_udf("array<struct<start:long,hits:long>>")
     def windows(text: pd.Series) -> pd.Series:
-        out = []
-        for t in text:
-            at = [m.start() for m in re.finditer(r"\b(the|and|der|que|les)\b", t or "")]
-            picked = []
-            for _ in range(2):
-                best = max(((sum(a <= x < a + 400 for x in at[i : i + 100]), -a) for i, a in enumerate(at) if all(abs(a - p[0]) >= 400 for p in picked)), default=None)
-                if best:
-                    picked.append((-best[1], best[0]))
-            out.append([{"start": s, "hits": h} for s, h in picked])
-        return pd.Series(out)
+        pattern = re.compile(words, re.I)
+        return pd.Series([[{"start": s, "hits": h} for s, h in dense_windows(t or "", pattern, 170, 2)] for t in text])
 
     return documents(spark, sf).select("doc_id", windows("text").alias("windows"))
