@@ -8,7 +8,7 @@ Buckets are not paired.  First each text meets the leader of each of its
 buckets, the text with the most company in all its buckets, so the original of a group
 of copies comes before the copies; pairs are checked exactly on their sets of shingle
 hashes, and those that pass are links.  The texts of buckets that hold several components
-then go through an exact join on the rarest shingles: with sizes x <= y, an
+are paired where there are ``_FEW`` at most; those of larger ones go through an exact join on the rarest shingles: with sizes x <= y, an
 overlap o is enough if o >= t / (1 + t) (x + y), so two such texts share a shingle among the
 first x - o + 1 and y - o + 1 of theirs, rarest first.  In a large group of
 copies those are the traces of edits, not what all copies share.  Texts meet
@@ -37,6 +37,8 @@ from .shared import components, join_counted, stash, text_bytes, tidy, unstash
 _BANDS, _ROWS, _LEADERS = 25, 5, 1
 #: Sizes of a class differ by this factor at most.
 _CLASS = 1.05
+#: Texts of a bucket that may be paired.
+_FEW = 16
 _draw = np.random.default_rng(42)
 _FACTORS = _draw.integers(0, 1 << 63, _BANDS * _ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFTS = _draw.integers(0, 1 << 63, _BANDS * _ROWS, np.uint64)
@@ -145,9 +147,12 @@ def near_texts(docs: DataFrame, least: float = 0.8, width: int = 5) -> DataFrame
     tidy(spark)
     rooted = stash(met.join(roots.withColumnRenamed("node", "key"), "key", "left").select("band", "key", F.coalesce("root", "key").alias("root")), "near-rooted")
     mixed = stash(rooted.groupBy("band").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band", "n"), "near-mixed")
-    open_ = stash(join_counted(rooted, mixed, ["band"], "n", "left_semi").select("key", "root").distinct(), "near-open")
+    open_ = stash(join_counted(rooted, mixed.filter(F.col("n") > _FEW), ["band"], "n", "left_semi").select("key", "root").distinct(), "near-open")
     more = rare_pairs(sets.join(open_, "key"), least)
-    late = _alike(more, sets, least)
+    few = rooted.join(mixed.filter(F.col("n") <= _FEW), "band")
+    a, b = (few.select("band", F.col("key").alias(x), F.col("root").alias("r" + x)) for x in "ab")
+    more_few = a.join(b, "band").filter("a < b AND ra <> rb").select("a", "b")
+    late = _alike(more.union(more_few).distinct(), sets, least)
     out = components(links.union(late)).select(F.col("node").alias("key"), "root")
     unstash(met, known, sets, leaders, links, roots, rooted, mixed, open_, more, late)
     return out

@@ -51,14 +51,23 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def written_since(before: set[str]) -> list[str]:
+    """Folders below the shared folder that were written since, and are still there."""
+    return [p for p in _written if p not in before]
+
+
+def written() -> set[str]:
+    return set(_written)
+
+
 @contextmanager
 def scratch(spark: SparkSession):
     """Deletes at its end what was written below the shared folder since its beginning; nothing may read that later."""
-    before = set(_written)
+    before = written()
     try:
         yield
     finally:
-        for path in [p for p in _written if p not in before]:
+        for path in written_since(before):
             remove(spark, path)
 
 
