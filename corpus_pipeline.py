@@ -12,11 +12,14 @@ documents are dropped at the start of a stage.  What a stage does with each is s
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexarium.deploy import shipped
 from lexarium.llm import lines, mixing, near, packing, quality
-from lexarium.llm.shared import remove, scratch, shared_path
+from lexarium.llm.shared import remove, scratch, shared_path, written, written_since
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -57,12 +60,33 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return packing.pack_documents(docs)
 
 
+#: Folders that earlier stages left for their results to be read from.
+_left: list[str] = []
+
+
+def staged(stage: Callable) -> Callable:
+    """Wrap a stage: what earlier stages left is deleted first, but for what ``docs`` still reads (their results are written by then)."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        used = "\n".join(docs.inputFiles()) if _left else ""
+        for folder in [x for x in _left if x.rsplit("/", 1)[1] not in used]:
+            remove(spark, folder)
+            _left.remove(folder)
+        before = written()
+        out = stage(spark, docs, sf_dir)
+        _left.extend(written_since(before))
+        return out
+
+    return shipped(run)
+
+
 STAGES = [
-    ("quality_rules", shipped(quality_rules)),
-    ("line_dedup", shipped(line_dedup)),
-    ("near_dedup", shipped(near_dedup)),
-    ("source_mix", shipped(source_mix)),
-    ("best_fit_packing", shipped(best_fit_packing)),
+    ("quality_rules", staged(quality_rules)),
+    ("line_dedup", staged(line_dedup)),
+    ("near_dedup", staged(near_dedup)),
+    ("source_mix", staged(source_mix)),
+    ("best_fit_packing", staged(best_fit_packing)),
 ]
 
 #: SQL can't express the first, third and last stage; tests hold run() against a brute-force version.
