@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .deploy import shipped
-from .plans import clusters, decisions, editions, history, records, relational, rules, shares, storage, texts  # noqa: F401  (they register queries)
+from .plans import clusters, decisions, editions, history, records, relational, rules, shares, storage, texts, units  # noqa: F401  (they register queries)
 from .plans.registry import QUERIES, SQL
 from .streaming import plans as _streaming  # noqa: F401
 
