@@ -12,8 +12,12 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.similar import is_subsequence, ratio, similar_words, title_score
 
 
-def align_lines(a: list[str], b: list[str], least: float = 0.85, ahead: int = 60) -> list[tuple[int, int, str]]:
-    """Monotone pairs (i, j, kind) of two versions' lines: equal keys first, then near ones in the gaps, then subsequences."""
+def align_lines(a: list[str], b: list[str], least: float = 0.85, ahead: int = 60, gaps: list[bool] | None = None) -> list[tuple[int, int, str]]:
+    """Monotone pairs (i, j, kind) of two versions' lines: equal keys first, then near ones in the gaps, then subsequences.
+
+    ``gaps`` tells which lines of ``a`` have gaps of their own; a line without one that lies within a longer
+    line of ``b`` is part of a merged one, which its neighbours may share.
+    """
     pairs: list[tuple[int, int, str]] = []
     for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks():
         pairs += [(m.a + k, m.b + k, "exact") for k in range(m.size)]
@@ -29,6 +33,8 @@ def align_lines(a: list[str], b: list[str], least: float = 0.85, ahead: int = 60
             if at >= 0:
                 out.append((i, at, "fuzzy"))
                 j = at + 1
+        if gaps:
+            out += _merged(a, b, i0, i1, j0, j1, {p[0]: p[1] for p in out}, gaps)
         taken_i, taken_j = {p[0] for p in out}, {p[1] for p in out}
         for i in range(i0, i1):
             for c in range(j0, j1):
@@ -43,6 +49,23 @@ def align_lines(a: list[str], b: list[str], least: float = 0.85, ahead: int = 60
     return sorted(out)
 
 
+def _merged(a, b, i0, i1, j0, j1, known, gaps):
+    """Lines i0..i1 that lie within longer lines of ``b`` between those of their aligned neighbours; several may share one."""
+    out, low = [], j0
+    for i in range(i0, i1):
+        if i in known:
+            low = known[i] + 1
+            continue
+        high = min((j for x, j in known.items() if i < x < i1), default=j1)
+        if gaps[i] or len(a[i]) < 8:
+            continue
+        host = next((j for j in range(low, high) if len(a[i]) < len(b[j]) <= len(a[i]) / 0.4 and is_subsequence(a[i], b[j])), None)
+        if host is not None:
+            out.append((i, host, "merged"))
+            low = host
+    return out
+
+
 def align_words(a: list[str], b: list[str]) -> tuple[list[tuple[int, int]], float]:
     """Pairs of words of two lines, equal or in two spellings, and the share of ``a`` that has one."""
     pairs = []

@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similar import ratio_udf
 from ..functions.stats import jsd_term
-from ..functions.text import modern_spelling
-from ..operators import align
+from ..operators import spans
 from ..sources.writers import documents as join_lines
 from .registry import query, table
 
@@ -62,15 +61,42 @@ def regularised_pairs(spark, sf):
     return p.groupBy("surface", "reg").agg(F.count("*").alias("n"))
 
 
-@query()
+#: Lines and tokens made of them; every seventh line has no twin.
+_VIEW = r"""l AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM conversations),
+w AS (SELECT conv_id, CAST(turn * 1000 + i - 1 AS BIGINT) AS line_no, line, list_transform(list_filter(string_split(line, ' '), lambda x: x <> ''), lambda x: {'at': regexp_extract(x, '[^\pL\pN]+$'), 'word': regexp_replace(x, '[^\pL\pN]+$', ''), 'name': regexp_matches(x, '^\p{Lu}')}) AS ws FROM l),
+g AS (SELECT conv_id, line_no, line, list_transform(ws, lambda x: {'at': x['at'], 'word': x['word'], 'reg': CASE WHEN length(x['word']) > 4 THEN replace(x['word'], 'th', 'y') END, 'name': x['name']}) AS ws FROM w),
+d AS (SELECT conv_id, line_no, line, line_no % 7 <> 3 AND regexp_matches(line, '[\pL\pN]') AS has, list_transform(ws, lambda x: {'said': x['at'], 'word': x['word'], 'reg': x['reg'], 'how': CASE WHEN coalesce(x['reg'], '') = '' THEN 'none' WHEN NOT regexp_matches(x['reg'], '\pL') OR regexp_matches(x['reg'], '\p{Ll}\p{Lu}') OR lower(x['reg']) = CASE WHEN x['name'] THEN 'np1' ELSE 'vvb' END THEN 'garbage' WHEN x['name'] AND NOT regexp_matches(x['reg'], '^\p{Lu}') THEN 'lower_name' ELSE 'applied' END}) AS ws FROM g),
+v AS (SELECT CAST(conv_id AS VARCHAR) AS key, line_no, line, has, CASE WHEN has THEN 'exact' ELSE 'unaligned_fallback' END AS status, CASE WHEN has THEN array_to_string(list_transform(ws, lambda x: CASE WHEN x['how'] = 'applied' THEN x['reg'] ELSE x['word'] END || x['said']), ' ') ELSE trim(regexp_replace(line, '\s+', ' ', 'g')) END AS text,
+ CASE WHEN has THEN len(list_filter(ws, lambda x: x['how'] = 'applied')) ELSE 0 END AS applied, CASE WHEN has THEN len(list_filter(ws, lambda x: x['how'] = 'garbage')) ELSE 0 END AS garbage, CASE WHEN has THEN len(list_filter(ws, lambda x: x['how'] = 'lower_name')) ELSE 0 END AS lower_name FROM d)"""
+
+
+def _transcriptions(spark, sf):
+    """lines (key, line_no, line) and blocks (key, block_no, tokens) of all lines but some."""
+    c = table(spark, sf, "conversations").select(F.col("conv_id").alias("key"), "turn", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    lines = c.select("key", (F.col("turn") * 1000 + F.col("i")).alias("line_no"), "line")
+    word = lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}]+$", "")
+    reg = lambda w: F.when(F.length(w) > 4, F.replace(w, F.lit("th"), F.lit("y")))
+    pair = lambda w: F.array(
+        F.struct(word(w).alias("surface"), reg(word(w)).alias("reg"), F.when(w.rlike(r"^\p{Lu}"), "np1").otherwise("vvb").alias("pos"), F.lit("none").alias("glue"), F.lit(False).alias("punct")),
+        F.struct(F.regexp_extract(w, r"[^\p{L}\p{N}]+$", 0).alias("surface"), F.lit(None).cast("string").alias("reg"), F.lit("pc").alias("pos"), F.lit("none").alias("glue"), F.lit(True).alias("punct")),
+    )
+    tokens = F.flatten(F.transform(F.filter(F.split("line", " +"), lambda w: w != ""), pair))
+    return lines, lines.filter("line_no % 7 <> 3").select("key", F.col("line_no").alias("block_no"), tokens.alias("tokens"))
+
+
+@query(f"WITH {_VIEW} SELECT key, line_no, status, CAST(NULL AS VARCHAR) AS reason, text, applied, garbage, lower_name FROM v")
 def regularised_view(spark, sf):
-    """Each line in the spelling of its aligned twin; lines without one fall back to mechanical spelling."""
-    c = table(spark, sf, "conversations").select("conv_id", F.col("turn").alias("line_no"), F.col("text").alias("line"))
-    twin = table(spark, sf, "conversations").filter("role <> 'system'").select("conv_id", F.col("turn").alias("line_no"), F.regexp_replace("text", "wh", "vv").alias("line"))
-    pairs = align.align_documents(c, twin, "conv_id").filter("kind <> 'span_fallback'")
-    reg = pairs.join(twin.select("conv_id", F.col("line_no").alias("line_b"), F.col("line").alias("reg")), ["conv_id", "line_b"]).select("conv_id", F.col("line_a").alias("line_no"), "kind", "reg")
-    out = c.join(reg, ["conv_id", "line_no"], "left")
-    return out.select("conv_id", "line_no", F.coalesce("kind", F.lit("unaligned_fallback")).alias("kind"), F.coalesce("reg", modern_spelling(F.col("line"))).alias("text"))
+    """Each line in the spelling of its span of tokens in a second transcription; lines without one fall back to mechanical spelling."""
+    lines, blocks = _transcriptions(spark, sf)
+    return spans.view(lines, blocks)
+
+
+@query(f"""WITH {_VIEW} SELECT key, count(*) AS n_lines, count(*) FILTER (has) AS exact, 0::BIGINT AS fuzzy, 0::BIGINT AS gapfill, 0::BIGINT AS merged, 0::BIGINT AS span_fallback, count(*) FILTER (NOT has) AS unaligned_fallback, CAST(sum(applied) AS BIGINT) AS applied, round(100 * count(*) FILTER (has) / count(*), 2) AS line_pct,
+ round(100 * coalesce(sum(length(line)) FILTER (has), 0) / greatest(sum(length(line)), 1), 2) AS char_pct FROM v GROUP BY key""")
+def regularised_coverage(spark, sf):
+    """Lines and characters of each document that took a span, and how the others fell back."""
+    lines, blocks = _transcriptions(spark, sf)
+    return spans.coverage(spans.view(lines, blocks), lines)
 
 
 @query()
