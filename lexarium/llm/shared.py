@@ -118,14 +118,15 @@ def join_counted(left: DataFrame, right: DataFrame, keys: list[str], n: str, how
     """``left`` joined to ``right`` on ``keys``; a key that many rows of ``left`` share stays where those rows are.
 
     ``right`` is a written table with one row a key, whose column ``n`` is the number of
-    rows of ``left`` with that key; both frames are read twice.  A key with more than one in
+    rows of ``left`` with that key; ``left`` is read three times (to count its rows, for heavy keys and for the rest).  A key with more than one in
     512 rows is heavy.  There are fewer than 512 of them, whatever the data, so
     they are broadcast; the rest meet by a shuffle.  ``how`` is inner or left_semi.
     """
-    heavy = right.filter(F.col(n) * _HEAVY > left.count())
+    rows = left.count()
+    heavy = right.filter(F.col(n) * _HEAVY > rows)
     if heavy.isEmpty():
         return left.join(right, keys, how)
-    rest = right.filter(F.col(n) * _HEAVY <= left.count())
+    rest = right.filter(F.col(n) * _HEAVY <= rows)
     light = left.join(F.broadcast(heavy.select(*keys)), keys, "left_anti")
     return left.join(F.broadcast(heavy), keys, how).unionByName(light.join(rest, keys, how))
 
