@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window as W, functions as F
 
-from ..operators import rules as R
+from ..operators import identity, rules as R
 from .registry import query, table
 
 _DIVS = ("scene", "prologue", "poem", "dedication", "notes", "speech", "poems", "errata", "chapter")
@@ -232,3 +232,40 @@ def stop_vocabulary_union(spark, sf):
     # distinct words of a text meet the vocabulary; the text itself is not moved by word
     hits = each.select("doc_id", F.explode("ws").alias("w")).groupBy("doc_id", "w").agg(F.count("*").alias("n")).join(stop, "w").groupBy("doc_id").agg(F.sum("n").alias("gone"))
     return each.select("doc_id", F.size("ws").cast("long").alias("all")).join(hits, "doc_id", "left").select("doc_id", (F.col("all") - F.coalesce("gone", F.lit(0))).alias("n_left"))
+
+
+_UNITS = """b AS (SELECT p_partkey AS k, p_partkey // 8 AS s, p_partkey % 8 AS i, CAST(p_size AS BIGINT) AS z FROM part),
+r AS (SELECT k, s, i, CASE WHEN s % 6 = 1 THEN s * 8 WHEN i = 7 THEN k - 1 ELSE k END AS work, CASE WHEN k % 3 = 0 THEN i + 1 END AS num FROM b WHERE s % 6 <> 0 AND NOT (s % 6 = 3 AND i = 5)),
+o AS (SELECT b.k, r.k AS rec, CASE WHEN r.k IS NULL THEN 'pending' ELSE 'confirmed' END AS identity FROM b LEFT JOIN r ON b.k = r.k WHERE b.k % 13 = 5),
+a AS (SELECT s, work, min(k) AS k, list_sort(list(k)) AS ks FROM r GROUP BY s, work), p AS (SELECT r.*, list_filter(a.ks, lambda x: x <> r.k) AS aliases FROM r JOIN a ON r.k = a.k WHERE r.k NOT IN (SELECT rec FROM o WHERE rec IS NOT NULL)),
+np AS (SELECT s, count(*) AS n FROM p GROUP BY s), x AS (SELECT b.*, k % 9 = 4 AS apart, k % 11 <> 3 AS has, CASE WHEN k % 2 = 0 THEN i + 1 END AS num, b.k IN (SELECT o.k FROM o) AS forced, b.s IN (SELECT r.s FROM r) AS known, coalesce(np.n, 0) AS n FROM b LEFT JOIN np ON b.s = np.s WHERE b.s % 6 <> 1 OR i < 1 + (b.s % 4) * 2),
+y AS (SELECT *, known AND NOT forced AND NOT apart AND has AS open FROM x), t AS (SELECT *, n > 1 AND open AND z % 5 <> 1 AND k IN (SELECT k FROM p) AS titled, sum(CAST(open AS INTEGER)) OVER (PARTITION BY s) AS n_open FROM y),
+lu AS (SELECT s, k, row_number() OVER (PARTITION BY s ORDER BY k) AS j, count(*) OVER (PARTITION BY s) AS c FROM t WHERE open AND n > 1 AND NOT titled), lp AS (SELECT s, k AS rec, num AS pnum, row_number() OVER (PARTITION BY s ORDER BY k) AS j, count(*) OVER (PARTITION BY s) AS c FROM p WHERE k NOT IN (SELECT k FROM t WHERE titled)),
+f AS (SELECT lu.k, lp.rec, lp.pnum FROM lu JOIN lp ON lu.s = lp.s AND lu.j = lp.j AND lu.c = lp.c WHERE lu.c <= 3),
+m AS (SELECT t.*, f.rec AS by_order, CASE WHEN forced THEN 'manual' WHEN NOT known THEN 'no record' WHEN apart THEN CASE WHEN k % 2 = 0 THEN 'frames in a division apart' ELSE 'division apart' END WHEN NOT has THEN 'no text' WHEN n = 1 THEN CASE WHEN n_open = 1 THEN 'one to one' ELSE 'one work' END
+ WHEN titled THEN CASE WHEN z % 5 <> 0 THEN 'title' WHEN k % 6 = 0 THEN 'title and ordinal' ELSE 'weak title' END WHEN f.rec IS NOT NULL THEN CASE WHEN t.num = f.pnum THEN 'order and ordinal' ELSE 'order' END ELSE 'unmatched' END AS method FROM (SELECT t.* FROM t) t LEFT JOIN f USING (k)),
+g AS (SELECT m.*, CASE WHEN forced THEN o.rec WHEN method LIKE 'one%' THEN (SELECT min(p.k) FROM p WHERE p.s = m.s) WHEN titled THEN m.k ELSE by_order END AS rec, CASE WHEN forced THEN o.identity WHEN method IN ('one to one', 'title', 'title and ordinal', 'order and ordinal', 'division apart') OR (method = 'one work' AND num IS NOT NULL) THEN 'confirmed' ELSE 'pending' END AS identity FROM m LEFT JOIN o ON m.k = o.k)"""
+
+
+def identity_tables(spark, sf):
+    """units, records and overrides: eight titles a source, made of hashes, so that only a unit's own title is like it."""
+    k, s, i = F.col("k"), F.col("s"), F.col("i")
+    b = table(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.floor(F.col("p_partkey") / 8).alias("s"), (F.col("p_partkey") % 8).alias("i"), F.col("p_size").alias("z"))
+    word = lambda salt: F.translate(F.substring(F.md5(F.concat(k.cast("string"), F.lit(salt))), 1, 12), "0123456789", "ghjklmnopq")
+    none = F.array().cast("array<long>")
+    number = F.array((i + 1).cast("long"))
+    records = b.filter("s % 6 <> 0").select(k.alias("record_id"), s.alias("source"), F.when(s % 6 == 1, s * 8).when(i == 7, k - 1).otherwise(k).alias("work_id"), k.alias("ord"), ((s % 6 == 3) & (i == 5)).alias("collection"), F.array(word("a"), word("b")).alias("tokens"), F.when(k % 3 == 0, number).otherwise(none).alias("numbers"))
+    tokens = F.when(F.col("z") % 5 == 1, F.array().cast("array<string>")).when(F.col("z") % 5 == 0, F.array(word("a"), word("c"))).otherwise(F.array(word("a"), word("b")))
+    u = b.filter("s % 6 <> 1 OR i < 1 + (s % 4) * 2")
+    units = u.select(k.alias("unit_id"), s.alias("source"), k.alias("ord"), F.when(k % 9 == 4, "poem").otherwise("play").alias("div_type"), F.when(k % 11 == 3, 0).otherwise(5).alias("chars"), (k % 2 == 0).alias("frames"), tokens.alias("tokens"), F.when(k % 2 == 0, number).otherwise(none).alias("numbers"))
+    has = (s % 6 != 0) & ~((s % 6 == 3) & (i == 5))
+    overrides = b.filter("k % 13 = 5").select(k.alias("unit_id"), F.when(has, k).alias("record_id"), F.when(has, "confirmed").otherwise("pending").alias("identity"), F.lit("proposed").alias("inclusion"))
+    return units, records, overrides
+
+
+@query(f"""WITH {_UNITS} SELECT k AS unit_id, rec AS record_id, method, identity, CASE WHEN forced THEN 'proposed' WHEN method = 'division apart' THEN 'excluded' WHEN method IN ('one to one', 'title', 'title and ordinal', 'order and ordinal') THEN 'proposed' ELSE 'pending' END AS inclusion,
+ array_to_string(CASE WHEN forced OR rec IS NULL THEN [] ELSE coalesce((SELECT any_value(p.aliases) FROM p WHERE p.k = g.rec), []) END, ';') AS aliases FROM g""")
+def unit_identities(spark, sf):
+    """The whole cascade from units to records: overrides, divisions apart, one work to a source, titles, ordinals, order."""
+    found = identity.identify(*identity_tables(spark, sf), ("poem",))
+    return found.withColumn("aliases", F.array_join(F.col("aliases").cast("array<string>"), ";"))
