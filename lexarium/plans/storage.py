@@ -19,7 +19,7 @@ def csv_round_trip(spark, sf):
 
 
 @query("SELECT CAST(NULL AS VARCHAR) AS a, CAST(NULL AS VARCHAR) AS b WHERE false")
-def optional_scan(spark, sf):
+def missing_file_scan(spark, sf):
     """A file that is missing is an empty table of its columns."""
     return readers.read_optional(spark, folder(spark, "none"), ["a", "b"])
 
