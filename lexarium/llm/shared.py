@@ -112,6 +112,17 @@ def row_key(*names: str) -> Column:
 
 
 _HEAVY = 512
+#: Rows that Spark may broadcast by its own estimate.
+_BROADCAST = 1 << 18
+
+
+def by_merge(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` as a side of a join, never broadcast if it has many rows (``rows``, or fewer).
+
+    Spark goes by the sizes of files, which are compressed and know nothing of a step
+    in Python that makes many rows of one; the driver holds what is broadcast.
+    """
+    return df.hint("merge") if rows > _BROADCAST else df
 
 
 def join_counted(left: DataFrame, right: DataFrame, keys: list[str], n: str, how: str = "inner") -> DataFrame:
@@ -160,13 +171,13 @@ def components(edges: DataFrame) -> DataFrame:
     The rounds needed grow with the logarithm of the longest path.
     """
     cur = stash(edges.filter("a <> b").selectExpr("greatest(a, b) AS u", "least(a, b) AS v").distinct(), "edges")
-    state = None
+    state, most = None, 2 * cur.count()  # no round makes more edges
     while True:
         both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = both.join(low, "u").filter("v > u").selectExpr("v AS u", "m AS v").filter("u <> v").distinct()
+        large = both.join(by_merge(low, most), "u").filter("v > u").selectExpr("v AS u", "m AS v").filter("u <> v").distinct()
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low2, "u").selectExpr("explode(array(struct(v AS u, m AS v), struct(u AS u, m AS v))) AS e").select("e.*").filter("u <> v").distinct()
+        small = large.join(by_merge(low2, most), "u").selectExpr("explode(array(struct(v AS u, m AS v), struct(u AS u, m AS v))) AS e").select("e.*").filter("u <> v").distinct()
         nxt = stash(small, "edges")
         row = nxt.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
         unstash(cur)

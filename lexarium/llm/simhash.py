@@ -34,7 +34,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .shared import components, join_counted, mix64, stash, text_bytes, unstash
+from .shared import by_merge, components, join_counted, mix64, stash, text_bytes, unstash
 
 _EVEN = 0x5555555555555555
 #: Numbers of groups that the segments can be dealt to.
@@ -103,7 +103,8 @@ def links(distinct: DataFrame, bits: int = 3) -> DataFrame:
     """Pairs (a, b) of representatives whose fingerprints (fp, rep: one row each) differ in at most ``bits`` (3 or fewer) bits."""
     if bits > 3:
         raise ValueError("the grid join finds pairs at 3 or fewer bits")
-    groups = groups_for(distinct.count())
+    total = distinct.count()
+    groups = groups_for(total)
     cells = grid(distinct, groups)
     left = cells.selectExpr("cell", "fp AS f", "rep AS a")
     right = cells.selectExpr("cell", "fp AS g", "rep AS b")
@@ -120,7 +121,7 @@ def links(distinct: DataFrame, bits: int = 3) -> DataFrame:
     pick = lambda xs: f"element_at(array({', '.join(map(str, xs))}), CAST(cell & 1023 AS INT) + 1)"
     upto = [(1 << c.bit_length()) - 1 for c in chosen]
     first = f"(({equal}) & {pick(upto)}) = {pick(chosen)}"
-    met = left.join(right, "cell").filter(f"f < g AND {steps} <= {bits} AND bit_count(f ^ g) <= {bits} AND {first}")
+    met = left.join(by_merge(right, total * comb(groups, 3)), "cell").filter(f"f < g AND {steps} <= {bits} AND bit_count(f ^ g) <= {bits} AND {first}")
     return met.selectExpr("least(a, b) AS a", "greatest(a, b) AS b")
 
 
@@ -129,12 +130,13 @@ def near_groups(docs: DataFrame, bits: int = 3, width: int = 3) -> DataFrame:
     fps = stash(fingerprints(docs, width), "fp")
     distinct = stash(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
     comps = components(links(distinct.select("fp", F.col("fp").alias("rep")), bits))
-    named = distinct.join(comps, distinct.fp == comps.node, "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root"))
+    kinds = distinct.count()
+    named = distinct.join(by_merge(comps, kinds), distinct.fp == comps.node, "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root"))
     named = stash(named, "named")
     ids = stash(named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("kinds")), "ids")
-    roots = stash(join_counted(named, ids, ["root"], "kinds").select("fp", "n", "component_id"), "roots")
+    roots = stash(join_counted(named, by_merge(ids, kinds), ["root"], "kinds").select("fp", "n", "component_id"), "roots")
     unstash(distinct, named, ids)
-    return join_counted(fps, roots, ["fp"], "n").select("doc_id", "fp", "component_id")
+    return join_counted(fps, by_merge(roots, kinds), ["fp"], "n").select("doc_id", "fp", "component_id")
 
 
 def one_per_group(docs: DataFrame, bits: int = 3, width: int = 3) -> DataFrame:

@@ -175,6 +175,12 @@ def test_any_id_names_a_component(spark, monkeypatch):
     assert [got[r] for r in rows] == [big, big, 2**63 - 1, -(2**63), 3, 3, 7, 7]
 
 
+def test_many_cells_are_not_broadcast(spark):
+    plan = lambda n: simhash.links(spark.range(n).selectExpr("xxhash64(id) AS fp", "id AS rep"))._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan(20_000) and "SortMergeJoin" in plan(20_000)
+    assert "Broadcast" in plan(1000)
+
+
 def test_heavy_keys_stay_where_they_are(spark):
     left = spark.range(5000).selectExpr("IF(id % 3 = 0, 0, id) AS k", "id")
     right = left.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("least"))
