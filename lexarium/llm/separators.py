@@ -25,6 +25,7 @@ false; further columns are ignored.
 from __future__ import annotations
 
 import uuid
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,8 @@ from .tokens import Tokens, source_of
 #: The end-of-document id of the public vocabulary; ordinary text never encodes to it.
 END_ID = 50256
 BLOCK_IDS = 1 << 20
+#: Blocks that one task searches, one after the other, and of which it writes one file.
+TASK_BLOCKS = 8
 
 
 def id_type(greatest: int) -> str:
@@ -93,12 +96,16 @@ def flat_files(spark: SparkSession, folder: str) -> list[tuple[str, int]]:
 def scan(spark: SparkSession, folder: str, end_id: int = END_ID, block_ids: int = BLOCK_IDS, kind: str | None = None, only: set[str] | None = None) -> DataFrame:
     """file, ordinal, start, n_tokens and closed of each document in the token files of ``folder``, or ``only`` those of some names."""
     listed = [(name, size) for name, size in flat_files(spark, folder) if size and (only is None or name in only)]
-    files = spark.createDataFrame(listed, "file string, bytes long")
     kind = kind or id_type(end_id)
     width = int(kind[-1])
+    upto = list(accumulate(-(-size // (width * block_ids)) for _, size in listed)) or [0]
+    each_task = max(TASK_BLOCKS, -(-upto[-1] // 10_000))
+    tasks = max(1, -(-upto[-1] // each_task))
+    files = spark.createDataFrame([(*f, n) for f, n in zip(listed, [0, *upto])], "file string, bytes long, before long")
     ids = F.floor(F.col("bytes") / width)
-    blocks = files.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((ids - 1) / block_ids)))).select("file", "block", F.least(ids - F.col("block") * block_ids, F.lit(block_ids)).alias("ids"))
-    tasks = max(1, min(10_000, sum(-(-size // (width * block_ids)) for _, size in listed)))
+    blocks = files.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((ids - 1) / block_ids))))
+    task = F.floor((F.col("before") + F.col("block")) / each_task).cast("int")
+    dealt = blocks.repartitionById(tasks, task).select("file", "block", F.least(ids - F.col("block") * block_ids, F.lit(block_ids)).alias("ids"))
 
     def search(batches):
         store, root = _open(folder)
@@ -110,7 +117,7 @@ def scan(spark: SparkSession, folder: str, end_id: int = END_ID, block_ids: int
                 last = pa.array([int(ends[-1]) if len(ends) else None], pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([block]), pa.array([block * block_ids + n]), pa.array([len(ends)]), last, pa.array([ends], pa.list_(pa.int64()))], names=["file", "block", "upto", "n", "last", "ends"])
 
-    found = stash(blocks.repartition(tasks, "file", "block").mapInArrow(search, "file string, block long, upto long, n long, last long, ends array<long>"), "blocks")
+    found = stash(dealt.mapInArrow(search, "file string, block long, upto long, n long, last long, ends array<long>"), "blocks")
     before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     summary = found.select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"), F.coalesce(F.max("last").over(before), F.lit(-1)).alias("carry"))
     stitched = found.select("file", "block", "ends").join(summary, ["file", "block"])

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lexarium.llm import langid, lines, mixing, packing, quality, separators, simhash, substring, tokens, topk, toxicity
+from lexarium.llm import langid, lines, mixing, packing, quality, separators, shared, simhash, substring, tokens, topk, toxicity
 from lexarium.llm.shared import components, sample_by_hash
 
 DATA = "/root/testdata"
@@ -167,6 +167,22 @@ def test_scan_of_foreign_files(spark, tmp_path):
     assert got == [("a.bin", 0, 0, 1, True), ("a.bin", 1, 2, 0, True), ("a.bin", 2, 3, 3, True), ("a.bin", 3, 7, 1, False)]
 
 
+def test_a_task_searches_several_blocks(spark, tmp_path):
+    want = []
+    for name, n in (("a.bin", 31), ("b.bin", 2), ("c.bin", 47)):  # 41 blocks of two ids
+        ids = np.arange(n) % 5
+        ids.astype("<u2").tofile(tmp_path / name)
+        ends = [-1, *np.flatnonzero(ids == 4).tolist()]
+        want += [(name, k, a + 1, b - a - 1, True) for k, (a, b) in enumerate(zip(ends, ends[1:]))]
+        want += [(name, len(ends) - 1, ends[-1] + 1, n - ends[-1] - 1, False)]
+    before = shared.written()
+    got = sorted(tuple(r) for r in separators.scan(spark, f"file://{tmp_path}", end_id=4, block_ids=2).collect())
+    assert got == want
+    (blocks,) = shared.written_since(before)
+    files = spark.read.parquet(blocks).inputFiles()
+    assert len(files) == -(-41 // separators.TASK_BLOCKS)  # each written file starts processes in the executor
+
+
 def test_fast_and_slow_tokens_agree(spark):
     enc = tokens.Tokens(tokens.source_of())
     texts = [r.text for r in spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").select("text").collect()]
